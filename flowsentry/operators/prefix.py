@@ -38,10 +38,10 @@ def with_range(df: DataFrame, key: str, bounds: Sequence[float], out: str = RANG
     if not distinct:
         return df.withColumn(out, F.lit(0))
     bucketizer = Bucketizer(
-        splits=[-math.inf, *distinct, math.inf], inputCol="_key", outputCol="_bucket", handleInvalid="keep"
+        splits=[-math.inf, *distinct, math.inf], inputCol="_range_key", outputCol="_bucket", handleInvalid="keep"
     )
-    cut = bucketizer.transform(df.withColumn("_key", F.col(key).cast("double")))
-    return cut.withColumn(out, F.col("_bucket").cast("int")).drop("_key", "_bucket")
+    cut = bucketizer.transform(df.withColumn("_range_key", F.col(key).cast("double")))
+    return cut.withColumn(out, F.col("_bucket").cast("int")).drop("_range_key", "_bucket")
 
 
 def running_totals(
