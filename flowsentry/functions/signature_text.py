@@ -91,5 +91,5 @@ def alert_time(text: Column, day: Column) -> Column:
     has_date = month.rlike(r"^\d{2}$") & dom.rlike(r"^\d{2}$")
     clock = F.regexp_extract(trimmed, r"^[^-]*-(.*)$", 1)
     return F.when(has_date, dated.try_cast("timestamp")).otherwise(
-        F.concat_ws(" ", base, F.nullif(clock, F.lit(""))).try_cast("timestamp")
+        F.concat(base, F.lit(" "), F.nullif(clock, F.lit(""))).try_cast("timestamp")
     )

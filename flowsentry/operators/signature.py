@@ -11,6 +11,7 @@ from flowsentry.config import RATE_COLUMNS, SIGNATURE_PRED_NAMES, SIGNATURE_SCOR
 from flowsentry.functions import network
 from flowsentry.functions.columns import col, first_existing, floor_bucket, flow_time, micros, to_double
 from flowsentry.functions.signature_text import alert_time, capture_day
+from flowsentry.session import materialize
 
 ALERT_IDENTITY = ["pcap_name", "timestamp", "sid", "proto", "src_ip", "src_port", "dst_ip", "dst_port"]
 
@@ -94,21 +95,23 @@ def _near(points: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
 
     With buckets as wide as the band, any point of the same bucket is in reach, and of the two
     neighbour buckets only the last and the first time matter. So one row per (key, bucket)
-    answers "is there a point within the band?" without forming a single pair.
+    answers "is there a point within the band?" without forming a single pair. Points of one
+    bucket combine on the map side, so a hot key does not reach one task.
     """
-    per_bucket = (
-        points.filter(F.col("t").isNotNull())
-        .groupBy(*keys, floor_bucket(F.col("t"), width).alias("bucket"))
-        .agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
-    )
+    bucket = floor_bucket(F.col("t"), width)
     none = F.lit(None).cast("bigint")
+
+    def entry(shift: int, here: bool, prev: Column, nxt: Column) -> Column:
+        return F.struct(
+            (bucket + shift).alias("bucket"), F.lit(here).alias("here"), prev.alias("prev"), nxt.alias("next")
+        )
+
     spread = F.array(
-        F.struct(F.col("bucket").alias("bucket"), F.lit(True).alias("here"), none.alias("prev"), none.alias("next")),
-        F.struct((F.col("bucket") + 1).alias("bucket"), F.lit(False).alias("here"), F.col("last_t").alias("prev"), none.alias("next")),
-        F.struct((F.col("bucket") - 1).alias("bucket"), F.lit(False).alias("here"), none.alias("prev"), F.col("first_t").alias("next")),
+        entry(0, True, none, none), entry(1, False, F.col("t"), none), entry(-1, False, none, F.col("t"))
     )
     return (
-        per_bucket.select(*keys, F.inline(spread))
+        points.filter(F.col("t").isNotNull())
+        .select(*keys, F.inline(spread))
         .groupBy(*keys, "bucket")
         .agg(F.bool_or("here").alias("here"), F.max("prev").alias("prev_t"), F.min("next").alias("next_t"))
     )
@@ -160,6 +163,17 @@ def _band(window_seconds: float) -> int:
     return max(1, int(window_seconds * 1_000_000))
 
 
+def _settled_alerts(flows: DataFrame, alerts: DataFrame, ignore_time: bool) -> tuple[DataFrame, dict]:
+    """Keyed alerts with their kind, written once because several lookups read them, and the
+    number of timed and timeless alerts of each kind."""
+    a = alert_kinds(flows, alert_keys(alerts))
+    if ignore_time:
+        a = a.withColumn("t", F.lit(None).cast("bigint"))
+    a = materialize(a, "alerts")
+    sizes = a.groupBy("kind").agg(F.count("t").alias("timed"), F.count_if(F.col("t").isNull()).alias("timeless"))
+    return a, {r["kind"]: (r["timed"], r["timeless"]) for r in sizes.collect()}
+
+
 def match_flows(
     flows: DataFrame, alerts: DataFrame, window_seconds: float = 2.0, ignore_time: bool = False
 ) -> DataFrame:
@@ -170,18 +184,19 @@ def match_flows(
     service port. An alert without a time hits all its candidates.
     """
     f = flow_keys(flows)
-    a = alert_kinds(f, alert_keys(alerts))
-    if ignore_time:
-        a = a.withColumn("t", F.lit(None).cast("bigint"))
+    a, sizes = _settled_alerts(f, alerts, ignore_time)
     width = _band(window_seconds)
-    marks = []
+    hit = F.lit(False)
     for kind, keys in (("exact", EXACT_KEY), ("fallback", FALLBACK_KEY)):
+        timed, timeless = sizes.get(kind, (0, 0))
         of_kind = a.filter(F.col("kind") == kind)
-        f = _mark_near(f, of_kind, keys, width, f"{kind}_near")
-        f = _mark_key(f, of_kind.filter(F.col("t").isNull()), keys, f"{kind}_any")
-        marks += [F.col(f"{kind}_near"), F.col(f"{kind}_any")]
-    hit = _matchable() & (marks[0] | marks[1] | marks[2] | marks[3])
-    pred = F.coalesce(hit, F.lit(False)).cast("int")
+        if timed:
+            f = _mark_near(f, of_kind, keys, width, f"{kind}_near")
+            hit = hit | F.col(f"{kind}_near")
+        if timeless:
+            f = _mark_key(f, of_kind.filter(F.col("t").isNull()), keys, f"{kind}_any")
+            hit = hit | F.col(f"{kind}_any")
+    pred = F.coalesce(_matchable() & hit, F.lit(False)).cast("int")
     return f.select("row_id", pred.alias("signature_pred"), pred.cast("double").alias("signature_score"))
 
 
@@ -190,22 +205,22 @@ def match_alerts(
 ) -> DataFrame:
     """Per alert: the kind of key it used and whether it hit a flow (alert_id, kind, hit)."""
     f = flow_keys(flows).filter(_matchable())
-    a = alert_kinds(f, alert_keys(alerts))
-    if ignore_time:
-        a = a.withColumn("t", F.lit(None).cast("bigint"))
+    a, sizes = _settled_alerts(f, alerts, ignore_time)
     width = _band(window_seconds)
-    # Only flows that share a key with some alert matter; the rest is dropped before grouping.
-    by_conv = f.join(a.select(*EXACT_KEY).distinct(), EXACT_KEY, "left_semi")
-    by_pair = f.join(a.filter("kind = 'fallback'").select(*FALLBACK_KEY).distinct(), FALLBACK_KEY, "left_semi")
-    a = _mark_near(a, by_conv, EXACT_KEY, width, "exact_near")
-    a = _mark_near(a, by_pair, FALLBACK_KEY, width, "pair_near")
-    a = _mark_key(a, by_pair, FALLBACK_KEY, "pair_any")
     timeless = F.col("t").isNull()
-    hit = (
-        F.when(F.col("kind") == "exact", timeless | F.col("exact_near"))
-        .when(F.col("kind") == "fallback", F.when(timeless, F.col("pair_any")).otherwise(F.col("pair_near")))
-        .otherwise(F.lit(False))
-    )
+    # A timeless alert of exact kind has a candidate by definition.
+    hit = timeless & (F.col("kind") == "exact")
+    for kind, keys in (("exact", EXACT_KEY), ("fallback", FALLBACK_KEY)):
+        timed_n, timeless_n = sizes.get(kind, (0, 0))
+        of_kind = a.filter(F.col("kind") == kind).select(*keys).distinct()
+        # Only flows that share a key with some alert matter; the rest goes before grouping.
+        near = f.join(of_kind, keys, "left_semi")
+        if timed_n:
+            a = _mark_near(a, near, keys, width, f"{kind}_near")
+            hit = hit | (~timeless & (F.col("kind") == kind) & F.col(f"{kind}_near"))
+        if timeless_n and kind == "fallback":
+            a = _mark_key(a, near, keys, "fallback_any")
+            hit = hit | (timeless & (F.col("kind") == kind) & F.col("fallback_any"))
     return a.select("alert_id", "kind", hit.alias("hit"))
 
 

@@ -250,12 +250,12 @@ ALERTS = (
     + f""",
 alerts0 AS (
   SELECT *, source_port + CASE WHEN k % 3 = 1 THEN 1 ELSE 0 END AS port,
-    "timestamp" + to_seconds((k % 7) - 3) AS at
+    "timestamp" + to_seconds((k % 7) - 3) AS seen
   FROM raw_flows WHERE event_type IN ('error', 'click')
 ),
 alerts AS (
   SELECT row_id AS alert_id, {DAY_SQL} AS pcap_name,
-    CASE WHEN k % 25 = 0 THEN '' ELSE strftime(at, '%m/%d-%H:%M:%S.%f') END AS "timestamp",
+    CASE WHEN k % 25 = 0 THEN '' ELSE strftime(seen, '%m/%d-%H:%M:%S.%f') END AS "timestamp",
     CAST(1 AS INTEGER) AS gid,
     CAST(CASE WHEN event_type = 'error' THEN 491 ELSE 553 + k % 3 END AS INTEGER) AS sid,
     CAST(1 AS INTEGER) AS rev, CAST(k % 4 AS INTEGER) AS priority,
@@ -265,7 +265,7 @@ alerts AS (
     CASE WHEN k < 50 THEN source_ip ELSE destination_ip END AS dst_ip,
     CAST(CASE WHEN k < 50 THEN port ELSE destination_port END AS INTEGER) AS dst_port,
     'signature ' || CAST(CASE WHEN event_type = 'error' THEN 491 ELSE 553 + k % 3 END AS VARCHAR) AS message,
-    CASE WHEN k % 25 = 0 THEN NULL ELSE at END AS at, protocol AS p
+    CASE WHEN k % 25 = 0 THEN NULL ELSE seen END AS seen, protocol AS p
   FROM alerts0
 )"""
 )
