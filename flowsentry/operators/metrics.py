@@ -49,8 +49,13 @@ def binary_metrics(df: DataFrame, label: str, pred: str, by: Sequence[str] = ())
 
 def scored_metrics(df: DataFrame, label: str, pred: str, score: str) -> DataFrame:
     """Counts, rates and both areas as one row."""
-    table = score_table(df, score, label)
-    return binary_metrics(df, label, pred).join(F.broadcast(areas(table)))
+    return _with_areas(binary_metrics(df, label, pred), score_table(df, score, label))
+
+
+def _with_areas(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Attach both areas, which are one row, to every row."""
+    one = areas(table).withColumn("_one", F.lit(1))
+    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
 
 
 def class_wise(df: DataFrame, pred: str, label: str = "multiclass_label") -> DataFrame:
@@ -162,21 +167,16 @@ def operating_points(
             for i, (op, src, t) in enumerate(points)
         ]
     )
-    curve = F.broadcast(areas(test_table))  # one row
-    return (
-        counts.select(F.inline(rows))
-        .join(curve)
-        .select(
-            F.lit(method).alias("method"),
-            "operating_point",
-            "threshold_source",
-            "threshold",
-            *rates(),
-            "roc_auc",
-            "pr_auc",
-            *COUNTS,
-            *[F.lit(v).alias(k) for k, v in (extra or {}).items()],
-        )
+    return _with_areas(counts.select(F.inline(rows)), test_table).select(
+        F.lit(method).alias("method"),
+        "operating_point",
+        "threshold_source",
+        "threshold",
+        *rates(),
+        "roc_auc",
+        "pr_auc",
+        *COUNTS,
+        *[F.lit(v).alias(k) for k, v in (extra or {}).items()],
     )
 
 

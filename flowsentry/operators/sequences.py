@@ -59,7 +59,8 @@ def align_scores(
     if by:
         filled = scored.join(first, by, "left")
     else:
-        filled = scored.join(F.broadcast(first), F.lit(True), "left")  # one row
+        row = first.first()  # a single window
+        filled = scored.withColumn("_first", F.lit(row["_first"] if row else None).cast("double"))
     return filled.select(
         *rows.columns,
         F.coalesce(

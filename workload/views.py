@@ -159,12 +159,9 @@ def dirty_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         gap("syn_flag_count"),
         F.lit(None).cast("double").alias("simillarhttp"),
     )
-    copies = raw.agg(F.max("row_id").alias("m"))  # one row: the largest id
-    repeated = (
-        dirty.join(F.broadcast(copies))
-        .withColumn("row_id", F.col("row_id") + F.col("m") + 1)
-        .drop("m")
-        .filter(F.col("label").isNull() | (F.col("label") != "portscan"))
+    last = raw.agg(F.max("row_id")).first()[0]
+    repeated = dirty.withColumn("row_id", F.col("row_id") + last + 1).filter(
+        F.col("label").isNull() | (F.col("label") != "portscan")
     )
     return dirty.unionByName(repeated)
 
