@@ -17,8 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a file stream."""
+    schema = table(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    source = event_stream(spark, sf_dir) if stream else table(spark, sf_dir, "events")
+    return source.select(
         F.col("event_id").alias("row_id"),
         # Alert lines carry no year and mean 2017, so the flows move there as well.
         F.expr("CAST(ts AS TIMESTAMP) - INTERVAL '7' YEAR").alias("ts"),
@@ -53,7 +60,7 @@ def _case(value, options, other):
     return out.otherwise(other)
 
 
-def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_flows(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Flows with their raw label spelling."""
     k, row = F.col("k"), F.col("row_id")
     label = (
@@ -63,7 +70,7 @@ def raw_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "click", F.lit("Benign "))
         .otherwise(F.lit("BENIGN"))
     )
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir, stream).select(
         "row_id",
         _case(row % 5, FILES[:4], F.lit(FILES[4])).alias("source_file"),
         F.col("ts").alias("timestamp"),
@@ -363,12 +370,12 @@ live_flows AS (
 )"""
 
 
-def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+def uploads(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Upload log in event order: many repeats, stale ranges and overlaps."""
     k, row = F.col("k"), F.col("row_id")
     start = (row % 97) * 10
     content = F.sha2(F.concat_ws("-", "event_type", (k % 30).cast("string")), 256)
-    return events(spark, sf_dir).select(
+    return events(spark, sf_dir, stream).select(
         row.alias("arrival"),
         F.concat(F.lit("tenant_"), (F.col("user_id") % 3).cast("string")).alias("tenant_id"),
         F.concat(F.lit("src_"), F.col("user_id").cast("string")).alias("source_id"),
