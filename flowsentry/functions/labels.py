@@ -30,9 +30,7 @@ def normalize_label(label: Column) -> Column:
     text = F.trim(label.cast("string"))
     # A dash lost to a wrong decoding (U+0096 or U+FFFD) still means the dash.
     key = F.lower(F.translate(text, "\u0096�", "––"))
-    return F.when(text.isNull(), F.lit(UNKNOWN)).otherwise(
-        F.coalesce(F.try_element_at(_lookup(LABEL_CLASSES), key), text)
-    )
+    return F.coalesce(F.try_element_at(_lookup(LABEL_CLASSES), key), text, F.lit(UNKNOWN))
 
 
 def with_labels(df: DataFrame) -> DataFrame:

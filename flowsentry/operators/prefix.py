@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowsentry.session import materialize
+
 RANGE = "_range"
 
 
@@ -178,6 +180,8 @@ def cut_points(
         *[F.max(F.when(at_cut(c), F.col(f"{c}_k") - before)).alias(f"_{c}_take") for c in names],
         *[F.max(F.when(at_cut(c), F.col("n"))).alias(f"_{c}_ties") for c in names],
     )
+    # One row per group, read again below and by the caller.
+    found = materialize(found, "cuts")
     # A cut inside a run of equal keys is settled by the tie column.
     split_run = found.select(
         *by,

@@ -13,6 +13,9 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods beyond 8000 bytes of bytecode. Wide flow projections reach
+    # that, and then run several times faster without whole-stage code.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

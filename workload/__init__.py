@@ -2,7 +2,15 @@
 
 from importlib import import_module
 
-AREAS = ["flow_queries", "signature_queries", "packet_queries", "upload_queries", "metric_queries", "stream_queries"]
+AREAS = [
+    "flow_queries",
+    "signature_queries",
+    "packet_queries",
+    "upload_queries",
+    "metric_queries",
+    "stream_queries",
+    "model_queries",
+]
 
 
 def load():
