@@ -320,21 +320,37 @@ def port_membership(spark, sf):
     )
 
 
-@query(
-    "feature_columns",
-    f"""WITH {views.FLOWS} SELECT * FROM (VALUES ('source_port', 'numeric'), ('destination_port', 'numeric'),
-    ('protocol', 'categorical'), ('total_fwd_packets', 'numeric'), ('total_backward_packets', 'numeric'),
-    ('flow_duration', 'numeric'), ('flow_bytes_s', 'numeric'), ('flow_packets_s', 'numeric'),
-    ('syn_flag_count', 'numeric'), ('rst_flag_count', 'numeric'), ('value', 'numeric'), ('k', 'numeric'),
-    ('user_id', 'numeric'), ('event_type', 'categorical')) AS t(feature, kind)""",
+FEATURES_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, '{kind}' AS kind, count({c}) AS filled, count(DISTINCT {c}) AS distinct_values FROM flows"
+    for c, kind in {
+        "source_port": "numeric",
+        "destination_port": "numeric",
+        "protocol": "categorical",
+        "total_fwd_packets": "numeric",
+        "total_backward_packets": "numeric",
+        "flow_duration": "numeric",
+        "flow_bytes_s": "numeric",
+        "flow_packets_s": "numeric",
+        "syn_flag_count": "numeric",
+        "rst_flag_count": "numeric",
+        "value": "numeric",
+        "k": "numeric",
+        "user_id": "numeric",
+        "event_type": "categorical",
+    }.items()
 )
+
+
+@query("feature_columns", f"WITH {views.FLOWS} {FEATURES_SQL}")
 def feature_columns(spark, sf):
     f = views.flows(spark, sf)
     features = C.feature_columns(f)
-    numeric, categorical = C.numeric_and_categorical(f, features)
-    return spark.createDataFrame(
-        [(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical], "feature string, kind string"
-    )
+    numeric, _ = C.numeric_and_categorical(f, features)
+    kind = F.when(F.col("feature").isin(*numeric), F.lit("numeric")).otherwise(F.lit("categorical"))
+    cells = f.select(*[F.col(c).cast("string").alias(c) for c in features]).unpivot([], features, "feature", "value")
+    return cells.groupBy("feature").agg(
+        F.count("value").alias("filled"), F.countDistinct("value").alias("distinct_values")
+    ).withColumn("kind", kind)
 
 
 @query(
