@@ -53,7 +53,8 @@ def read_split_ids(spark: SparkSession, path: str) -> DataFrame:
     chosen = next(iter(preferred + others), None)
     if chosen is None:
         raise ValueError(f"no list of test rows in {path}")
-    return doc.select(F.explode(F.col(f"`{chosen}`")).cast("bigint").alias("row_id")).distinct()
+    ids = F.col(f"`{chosen}`").cast("array<bigint>")
+    return doc.select(F.explode(ids).alias("row_id")).distinct()
 
 
 def rows_in(df: DataFrame, ids: DataFrame) -> DataFrame:
