@@ -53,9 +53,9 @@ def scored_metrics(df: DataFrame, label: str, pred: str, score: str) -> DataFram
 
 
 def _with_areas(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Attach both areas, which are one row, to every row."""
-    one = areas(table).withColumn("_one", F.lit(1))
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one").drop("_one")
+    """Attach both areas, two numbers, to every row."""
+    area = areas(table).first()
+    return rows.select("*", *[F.lit(area[c]).cast("double").alias(c) for c in ("roc_auc", "pr_auc")])
 
 
 def class_wise(df: DataFrame, pred: str, label: str = "multiclass_label") -> DataFrame:

@@ -178,18 +178,24 @@ PER_CLASS = """SELECT multiclass_label AS class, count(*) AS support,
   {rate} AS rate{fires} FROM {rel} GROUP BY multiclass_label"""
 
 
-@query(
-    "per_class_report",
-    f"WITH {RULES_SQL} "
-    + PER_CLASS.format(
-        rate="round(CASE WHEN multiclass_label = 'BENIGN' THEN 1.0::DOUBLE - sum(p)::DOUBLE / count(*) "
-        "ELSE sum(p)::DOUBLE / count(*) END, 4)",
-        fires=", CAST(sum(p) AS BIGINT) AS fires",
-        rel="(SELECT *, CASE WHEN fires > 0 THEN 1 ELSE 0 END AS p FROM fired)",
-    ),
+PER_CLASS_SQL = f"WITH {RULES_SQL} " + PER_CLASS.format(
+    rate="round(CASE WHEN multiclass_label = 'BENIGN' THEN 1.0::DOUBLE - sum(p)::DOUBLE / count(*) "
+    "ELSE sum(p)::DOUBLE / count(*) END, 4)",
+    fires=", CAST(sum(p) AS BIGINT) AS fires",
+    rel="(SELECT *, CASE WHEN fires > 0 THEN 1 ELSE 0 END AS p FROM fired)",
 )
+
+
+@query("per_class_report", PER_CLASS_SQL)
 def per_class_report(spark, sf):
-    """Flagship: which classes do the rate rules catch?"""
+    """Flagship: which classes do the rate rules catch? Labels ride along, so nothing is joined back."""
+    flags = flagged(spark, sf).withColumn("fired", (rules.fired_count() > 0).cast("int"))
+    return metrics.per_class_report(flags, "fired")
+
+
+@query("per_class_join", PER_CLASS_SQL)
+def per_class_join(spark, sf):
+    """The same report from two tables that share only row_id."""
     flags = flagged(spark, sf).select("row_id", (rules.fired_count() > 0).cast("int").alias("signature_pred"))
     return metrics.per_class_fires(views.flows(spark, sf), flags)
 

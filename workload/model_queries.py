@@ -192,7 +192,7 @@ def detector_comparison(spark, sf):
         (F.col("rf_pvalue") <= 0.05).cast("int").alias("conformal_pred"),
         F.col("snort_pred").cast("double").alias("snort_score"),
     )
-    return comparison(decided).withColumn("pr_auc", F.round("pr_auc", 9))
+    return comparison(materialize(decided, "decided")).withColumn("pr_auc", F.round("pr_auc", 9))
 
 
 @query("rule_report")

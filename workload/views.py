@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.functions.signature_text import capture_day
-from flowsentry.session import apply_settings
+from flowsentry.session import apply_settings, materialize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -445,7 +445,7 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splits with a real-valued score, a score with many ties, and the inputs of the cascade."""
-    return splits(spark, sf_dir).select(
+    rows = splits(spark, sf_dir).select(
         "row_id",
         "source_file",
         "multiclass_label",
@@ -458,6 +458,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("k") % 20 == 3)).cast("int").alias("snort_pred"),
         "k",
     )
+    # The scored table is read several times by every query on it.
+    return materialize(rows, "scored")
 
 
 SCORED = (
