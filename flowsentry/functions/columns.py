@@ -66,9 +66,12 @@ def to_double(c: Column) -> Column:
 
 def number(df: DataFrame, name: str, default: float = 0.0) -> Column:
     """A numeric column with a default; a constant when the column does not exist."""
+    fallback = F.lit(float(default))
     if name not in df.columns:
-        return F.lit(float(default))
-    return F.coalesce(to_double(col(name)), F.lit(float(default)))
+        return fallback
+    text = isinstance(df.schema[name].dataType, T.StringType)
+    value = col(name).try_cast("double") if text else col(name).cast("double")
+    return F.coalesce(F.nanvl(value, fallback), fallback)
 
 
 def finite(c: Column) -> Column:
