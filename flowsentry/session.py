@@ -42,6 +42,10 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime settings the operators rely on in a session made elsewhere."""
     for key, value in SESSION_SETTINGS.items():
         spark.conf.set(key, value)
+    local = spark.sparkContext.master.startswith("local")
+    if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # The cluster default is far too many state stores and tasks for one machine.
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return spark
 
 
