@@ -27,9 +27,6 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "flows
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        # Small local files still spread over the cores.
-        .config("spark.sql.files.maxPartitionBytes", "2m")
-        .config("spark.sql.files.openCostInBytes", "256k")
     )
     for key, value in SESSION_SETTINGS.items():
         builder = builder.config(key, value)
