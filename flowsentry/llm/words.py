@@ -113,12 +113,46 @@ def find_words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = PLAIN
     return Words(start, end, row, row_end)
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * _M2
+    x += b
+    x ^= x >> np.uint64(29)
+    x *= _M1
+    return x
+
+
 def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """A hash of every run of `size` neighbouring hashes (texts are not kept apart here)."""
     n = max(0, len(h) - size + 1)
-    g = h[:n].copy()
-    for k in range(1, size):
-        g *= _M2
-        g += h[k : n + k]
-        g ^= g >> np.uint64(29)
-    return mix(g)
+    out, done, power, width = None, 0, h, 1
+    while size:
+        if size & 1:
+            out = power[:n].copy() if out is None else _joined(out[:n], power[done : done + n])
+            done += width
+        size >>= 1
+        if size:
+            power = _joined(power[:-width], power[width:]) if len(power) > width else power[:0]
+            width *= 2
+    return mix(out[:n])
+
+
+def sliding(op, values: np.ndarray, size: int) -> np.ndarray:
+    """op (np.minimum or np.maximum) over every run of `size` neighbours."""
+    n = max(0, len(values) - size + 1)
+    if not n:
+        return values[:0]
+    width, power = 1, values
+    while width * 2 <= size:
+        power = op(power[:-width], power[width:])
+        width *= 2
+    return op(power[:n], power[size - width : size - width + n])
+
+
+def word_slices(column: pa.Array, limit: int, inside: np.ndarray = PLAIN, lower: bool = False) -> Iterator[tuple[int, np.ndarray, Words]]:
+    """For each slice of rows: the first row, the hashes of its words and the words."""
+    raw, offsets = text_bytes(column)
+    for first, last in row_slices(offsets, limit):
+        data = raw[offsets[first] : offsets[last]]
+        data = LOWER[data] if lower else data
+        found = find_words(data, offsets[first : last + 1] - offsets[first], inside)
+        yield first, span_hashes(data, found.start, found.end), found
