@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup, token_counts, url_reputation
+from . import decontamination, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup, token_counts, url_reputation, window_dedup
 from .frames import table
 
 #: Where the vocabulary files of public tokenizers lie, on the driver and on every executor.
@@ -45,6 +45,10 @@ def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
 
+def op9_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return window_dedup.near_duplicate_passages(table(spark, folder, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, folder, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash_dedup,
         op6_mixing,
         op8_sharding,
+        op9_window_dedup,
         op10_suffix_dedup,
     )
 }

@@ -24,20 +24,16 @@ ignored. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import passages as P
 from . import words as W
 from .frames import written
 
-SLICE = 2 << 20
-
 
 @dataclass(frozen=True)
 class SuffixLimits:
@@ -74,177 +70,31 @@ def minimisers(h: np.ndarray, found: W.Words, limits: SuffixLimits) -> np.ndarra
     return at[at + limits.head <= ends[at]]
 
 
-def _suffixes(texts: DataFrame, limits: SuffixLimits) -> DataFrame:
-    """texts (_id, _text) to (key, _id, pos) of every retained suffix."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for first, h, found in W.word_slices(batch.column(1), SLICE):
-                at = minimisers(h, found, limits)
-                row = found.row[at]
-                columns = [W.window_hashes(h, limits.head)[at].view(np.int64), ids[first + row], (at - found.row_start[row]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "_id", "pos"])
-
-    return texts.mapInArrow(work, "key long, _id long, pos int")
-
-
-def binary_rows(matrix: np.ndarray) -> pa.Array:
-    """One binary value for each row of a matrix."""
-    matrix = np.ascontiguousarray(matrix)
-    size = matrix.shape[1] * matrix.itemsize
-    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * size
-    return pa.BinaryArray.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix)])
-
-
-def _contexts(texts: DataFrame, limits: SuffixLimits) -> DataFrame:
-    """texts (_id, _text, places: array of (pos, key)) to (key, right, left, _id, pos).
-
-    Each word is four bytes, never all zero; zeros stand for what lies outside the text.
-    """
-
-    def around(h: np.ndarray, low: np.ndarray, high: np.ndarray, at: np.ndarray, steps: np.ndarray) -> np.ndarray:
-        place = at[:, None] + steps
-        inside = (place >= low[:, None]) & (place < high[:, None])
-        return np.where(inside, h[np.clip(place, 0, len(h) - 1)], 0)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = -1 - np.arange(limits.left)
-        after = limits.head + np.arange(limits.right)
-        for batch in batches:
-            ids, places = batch.column(0).to_numpy(), batch.column(2)
-            for first, h, found in W.word_slices(batch.column(1), SLICE):
-                own = places.slice(first, len(found.row_end))
-                row = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
-                flat = own.flatten()
-                pos, key = (flat.field(k).to_numpy() for k in (0, 1))
-                at = found.row_start[row] + pos
-                # Another text with the same id may have brought places of its own; its keys differ.
-                heads = W.window_hashes(h, limits.head).view(np.int64)
-                ok = at + limits.head <= found.row_end[row]
-                ok[ok] = heads[at[ok]] == key[ok]
-                row, pos, key, at = row[ok], pos[ok], key[ok], at[ok]
-                short = np.maximum(h.astype(np.uint32), np.uint32(1))
-                low, high = found.row_start[row], found.row_end[row]
-                for k in range(0, len(at), 1 << 14):
-                    s = slice(k, k + (1 << 14))
-                    sides = [binary_rows(around(short, low[s], high[s], at[s], steps)) for steps in (after, before)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[s]), *sides, pa.array(ids[first + row[s]]), pa.array(pos[s])], ["key", "right", "left", "_id", "pos"]
-                    )
-
-    return texts.mapInArrow(work, "key long, right binary, left binary, _id long, pos int")
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint32)[offsets[0] // 4 : offsets[-1] // 4].reshape(-1, width)
-
-
-def _same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many of the first words of each pair of rows are equal."""
-    return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
-
-
-SPANS = "_id long, begin int, end int, other long, key long, pos int, edge int, part int, right binary, left binary"
-
-
-def _matched(rows: pa.RecordBatch, limits: SuffixLimits) -> pa.RecordBatch:
-    """Spans of neighbouring rows (key, right, left, _id, pos) with the same head: one for each of the two."""
-    key, ids, pos = (rows.column(k).to_numpy() for k in (0, 3, 4))
-    pair = np.flatnonzero(key[:-1] == key[1:])
-    right, left = _matrix(rows.column(1), limits.right), _matrix(rows.column(2), limits.left)
-    after = limits.head + _same(right[pair], right[pair + 1])
-    before = _same(left[pair], left[pair + 1])
-    long = before + after >= limits.min_words
-    pair, before, after = pair[long], before[long], after[long]
-    me, other = np.concatenate([pair, pair + 1]), np.concatenate([pair + 1, pair])
-    before, after = np.tile(before, 2), np.tile(after, 2)
-    none = np.zeros(len(me), np.int32)
-    columns = [ids[me], (pos[me] - before).astype(np.int32), (pos[me] + after).astype(np.int32), ids[other], key[me], pos[me], none, none]
-    empty = pa.nulls(len(me), pa.binary())
-    return pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), empty, empty], SPANS.replace(",", "").split()[::2])
-
-
-def _edge(row: pa.RecordBatch, edge: int, part: int) -> pa.RecordBatch:
-    number = pa.array([0], pa.int32())
-    columns = [row.column(3), number, number, row.column(3), row.column(0), row.column(4), pa.array([edge], pa.int32()), pa.array([part], pa.int32())]
-    return pa.RecordBatch.from_arrays([*columns, row.column(1), row.column(2)], SPANS.replace(",", "").split()[::2])
-
-
-def _neighbours(suffixes: DataFrame, order: list[str], limits: SuffixLimits) -> DataFrame:
-    """Spans from suffixes (key, right, left, _id, pos) that are neighbours in the given order."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, seen = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            if not len(batch):
-                continue
-            if last is None:
-                yield _edge(batch.slice(0, 1), 1, part)
-                rows = batch
-            else:
-                rows = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            yield _matched(rows, limits)
-            last, seen = batch.slice(len(batch) - 1, 1), seen + len(batch)
-        if seen > 1:
-            yield _edge(last, 2, part)
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # first and last rows, in order
-        rows = [b for b in batches if len(b)]
-        if rows:
-            yield _matched(pa.Table.from_batches(rows).combine_chunks().to_batches()[0], limits)
-
-    ordered = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "right", "left", "_id", "pos")
-    found = written(ordered.mapInArrow(work, SPANS), "suffix-spans")
-    edges = found.where("edge > 0").repartition(1).sortWithinPartitions("part", "edge").select("key", "right", "left", "_id", "pos")
-    return found.where("edge = 0").unionByName(edges.mapInArrow(across, SPANS)).select("_id", "begin", "end", "other", "key", "pos")
-
-
-def merged(spans: DataFrame) -> DataFrame:
-    """(_id, begin, end, other): overlapping or touching spans of a text joined; other is the smallest."""
-    spans = spans.groupBy("_id", "begin").agg(F.max("end").alias("end"), F.min("other").alias("other"))
-    line = Window.partitionBy("_id").orderBy("begin")
-    reach = F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.withColumn("_new", F.coalesce((F.col("begin") > reach), F.lit(True)).cast("int"))
-    numbered = flagged.withColumn("_n", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("_id", "_n").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.min("other").alias("other")).drop("_n")
-
-
-def places_of(repeated: DataFrame) -> DataFrame:
-    """(_id, places) from rows (_id, pos, key): each text's places once, bounded by the text's length."""
-    distinct = repeated.select("_id", "pos", "key").distinct()
-    return distinct.groupBy("_id").agg(F.collect_list(F.struct("pos", "key")).alias("places"))
-
-
-def reported(docs: DataFrame, spans: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Spans of texts as rows of documents: id, first_word, end_word, n_words and other_doc_id, the smallest
-    id of a document that holds the passage too (a copy of this one, or itself, if none other was met)."""
-    ids = docs.select(F.col(id_col).alias("_doc"), F.xxhash64(text_col).alias("_id"))
-    names = ids.groupBy("_id").agg(F.min("_doc").alias("_named"))
-    named = spans.join(names.select(F.col("_id").alias("other"), "_named"), "other")
-    out = ids.join(named, "_id")
-    return out.select(
-        F.col("_doc").alias(id_col),
-        F.col("begin").cast("long").alias("first_word"),
-        F.col("end").cast("long").alias("end_word"),
-        (F.col("end") - F.col("begin")).cast("long").alias("n_words"),
-        F.col("_named").alias("other_doc_id"),
-    )
+def _match(limits: SuffixLimits) -> P.Match:
+    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
+
+    def match(right_a, left_a, right_b, left_b):
+        before, after = same(left_a, left_b), limits.head + same(right_a, right_b)
+        return before + after >= limits.min_words, -before, after, -before, after
+
+    return match
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: SuffixLimits = SuffixLimits()) -> DataFrame:
     """One row per document and maximal repeated passage: id, first_word, end_word, n_words, other_doc_id."""
+
+    def heads(h: np.ndarray, found: W.Words) -> tuple[np.ndarray, np.ndarray]:
+        at = minimisers(h, found, limits)
+        return at, W.window_hashes(h, limits.head)[at]
+
+    def has_key(h: np.ndarray, found: W.Words):
+        values = W.window_hashes(h, limits.head).view(np.int64)
+        return lambda at, key: (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == key) if len(values) else at < 0
+
     texts = docs.select(F.xxhash64(text_col).alias("_id"), F.col(text_col).alias("_text"))
-    suffixes = written(_suffixes(texts, limits), "suffixes")
-    twice = suffixes.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    repeated = suffixes.join(twice, "key")
-    around = texts.join(places_of(repeated), "_id")
-    contexts = written(_contexts(around, limits), "suffix-contexts")
-    spans = _neighbours(contexts, ["key", "right", "left", "_id", "pos"], limits)
-    spans = written(spans, "suffix-right")
-    # Heads with a suffix that no neighbour to the right side explains.
-    short = contexts.join(spans.select("key", "_id", "pos").distinct(), ["key", "_id", "pos"], "left_anti").select("key").distinct()
-    again = written(contexts.join(short, "key", "left_semi"), "suffix-again")
-    spans = spans.unionByName(_neighbours(again, ["key", "left", "right", "_id", "pos"], limits))
-    return reported(docs, merged(spans), id_col, text_col)
+    suffixes = written(P.keyed_places(texts, heads), "suffixes")
+    around = texts.join(P.places_of(P.repeated_places(suffixes)), "_id")
+    steps = limits.head + np.arange(limits.right), -1 - np.arange(limits.left)
+    around = written(P.contexts(around, has_key, lambda h: np.maximum(h.astype(np.uint32), np.uint32(1)), 1, *steps), "suffix-contexts")
+    return P.reported(docs, P.merged(P.matches(around, _match(limits), np.uint32)), id_col, text_col)
