@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup, token_counts, url_reputation, window_dedup
+from . import decontamination, line_dedup, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup, token_counts, url_reputation, window_dedup
 from .frames import table
 
 #: Where the vocabulary files of public tokenizers lie, on the driver and on every executor.
@@ -41,6 +41,10 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_documents(table(spark, folder, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(table(spark, folder, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_decontamination,
         op5_simhash_dedup,
         op6_mixing,
+        op7_line_dedup,
         op8_sharding,
         op9_window_dedup,
         op10_suffix_dedup,
