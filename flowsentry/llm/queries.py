@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup, token_counts, url_reputation, window_dedup
+from . import decontamination, line_dedup, mixing, quality_rules, sharding, simhash_dedup, sql, suffix_dedup, token_counts, url_reputation, window_dedup
 from .frames import table
 
 #: Where the vocabulary files of public tokenizers lie, on the driver and on every executor.
@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op1_url_reputation": sql.OP1, "op6_mixing": sql.OP6, "op8_sharding": sql.OP8}
