@@ -1,7 +1,7 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask hashes the words at its 1-places and ignores the others, so a substituted word under a 0 does
-not hide a match. Words are runs of letters and digits with A-Z lower-cased. The three masks hit every
+not hide a match. Words are runs of letters and digits with A-Z lower-cased. The four masks hit every
 placement of 4 substitutions in 20 words and of 3 in 15. Hashes of test items and of training texts are
 joined; around each hit the aligned words are compared, and a window of `window` words (or the whole
 item, if shorter) with at least `share` equal words is an overlap.
@@ -12,7 +12,7 @@ items it lets more hashes pass, never fewer. What passes goes with the words aro
 join. Equal items are searched once.
 
 Defined results: null and empty texts and items match nothing, nor do items with fewer words than the
-shortest mask (7). Repeated documents are reported once per id, item and text. Ids may be null. Extra
+shortest mask (6). Repeated documents are reported once per id, item and text. Ids may be null. Extra
 columns are ignored by overlaps() and passed on by keep_clean(). Empty tables give an empty table.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .frames import written
+from .frames import packed, written
 
 SLICE = 2 << 20
 #: Bits of the table of test hashes.
@@ -39,7 +39,7 @@ BITS = 27
 class SeedLimits:
     """Masks and what counts as an overlap."""
 
-    masks: tuple[str, ...] = ("1111011", "11001000111", "11010100011")
+    masks: tuple[str, ...] = ("111111", "1111011", "11001000111", "11010100011")
     window: int = 20
     share: float = 0.8
 
@@ -235,5 +235,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_c
     """The documents without an overlap, with all their columns."""
     items = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     texts = docs.select(F.lit(0).cast("long").alias("id"), F.col(text_col).alias("text"))
-    bad = _overlaps(texts, items, limits).select(F.col("digest").alias("_bad_digest")).distinct()
-    return docs.join(bad, F.md5(F.col(text_col)) == F.col("_bad_digest"), "left_anti")
+    bad = _overlaps(texts, items, limits).select("digest").distinct()
+    return packed(docs, digest=F.md5(F.col(text_col))).join(bad, "digest", "left_anti").select("doc.*")

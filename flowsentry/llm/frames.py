@@ -58,9 +58,14 @@ def forget(df: DataFrame) -> None:
     _remove(df.sparkSession, df._written_path)
 
 
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """docs as one column doc, so that added columns cannot clash with its own; `doc.*` unpacks it."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), *(c.alias(n) for n, c in more.items()))
+
+
 def with_row(df: DataFrame, name: str) -> DataFrame:
-    """df with a unique row number in column _row, written once so that the numbers stay the same."""
-    return written(df.withColumn("_row", F.monotonically_increasing_id()), name)
+    """df with a unique number in column row, written once so that the numbers stay the same."""
+    return written(df.withColumn("row", F.monotonically_increasing_id()), name)
 
 
 def n_words(text: str | Column) -> Column:

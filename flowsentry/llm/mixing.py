@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import WORD, n_words, with_row, written
+from .frames import WORD, n_words, packed, with_row, written
 
 
 @dataclass(frozen=True)
@@ -161,16 +161,19 @@ def mixed_documents(
     A document taken whole keeps its text; of one that a run's edge cuts, the words taken are joined by
     spaces (length_col then gets the new number of characters). Documents without words are left out.
     """
-    rows = with_row(docs, "mix-docs")
-    sized = rows.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(text_col).alias("_size"), "_row")
+    rows = with_row(packed(docs), "mix-docs")
+    text = F.col(f"doc.{text_col}")
+    sized = rows.select(F.col(f"doc.{id_col}").alias("_id"), F.col(f"doc.{source_col}").alias("_source"), n_words(text).alias("_size"), "row")
     parts = _parts(written(sized, "mix-sizes"), mix)
     whole = F.struct(F.lit(0).cast("long").alias("skip"), F.col("_size").alias("words"))
     stretches = [F.struct((b - F.col("_begin")).cast("long").alias("skip"), (e - b).cast("long").alias("words")) for b, e in _taken_once_more(mix)]
     times = F.concat(F.array_repeat(whole, F.col("_passes").cast("int")), F.array(*stretches))
-    pieces = parts.select("_row", F.col("_size").alias("_all"), F.explode(times).alias("_piece")).where("_piece.words > 0")
-    text = F.col(text_col)
-    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), (F.col("_piece.skip") + 1).cast("int"), F.col("_piece.words").cast("int")), " ")
-    out = rows.join(pieces, "_row").withColumn(text_col, F.when(F.col("_piece.words") == F.col("_all"), text).otherwise(cut))
+    pieces = parts.select("row", F.col("_size").alias("all"), F.explode(times).alias("piece")).where("piece.words > 0")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), (F.col("piece.skip") + 1).cast("int"), F.col("piece.words").cast("int")), " ")
+    is_whole = F.col("piece.words") == F.col("all")
+    doc = F.col("doc").withField(f"`{text_col}`", F.when(is_whole, text).otherwise(cut))
+    out = rows.join(pieces, "row").select(doc.alias("doc"), is_whole.alias("whole"))
     if length_col:
-        out = out.withColumn(length_col, F.when(F.col("_piece.words") == F.col("_all"), F.col(length_col)).otherwise(F.length(text_col)))
-    return out.select(*docs.columns)
+        length = F.when(F.col("whole"), F.col(f"doc.{length_col}")).otherwise(F.length(f"doc.{text_col}"))
+        out = out.withColumn("doc", F.col("doc").withField(f"`{length_col}`", length.cast(docs.schema[length_col].dataType)))
+    return out.select("doc.*")

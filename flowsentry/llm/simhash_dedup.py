@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .frames import with_row, written
+from .frames import packed, with_row, written
 
 #: Shingles hashed and counted at once.
 CHUNK = 1 << 15
@@ -58,18 +58,16 @@ def _fingerprints(column: pa.Array) -> pa.Array:
     return pa.array([fingerprint(v.as_buffer().to_pybytes()) if v.is_valid else 0 for v in values], pa.int64())
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """The carried columns with the fingerprint as a signed long in column _fp."""
-    carry = docs.columns if carry is None else carry
-    at = len(carry)
+def fingerprints(texts: DataFrame) -> DataFrame:
+    """texts, whose last column is the text, with the fingerprint as a signed long (_fp) in its place."""
+    carry = texts.columns[:-1]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [*batch.columns[:at], _fingerprints(batch.column(at))]
+            columns = [*batch.columns[:-1], _fingerprints(batch.columns[-1])]
             yield pa.RecordBatch.from_arrays(columns, [*carry, "_fp"])
 
-    schema = docs.select(*carry).schema.add("_fp", "long")
-    return docs.select(*carry, F.col(text_col).alias("_text")).mapInArrow(work, schema)
+    return texts.mapInArrow(work, texts.select(*carry).schema.add("_fp", "long"))
 
 
 def _variants(prints: DataFrame) -> DataFrame:
@@ -121,10 +119,10 @@ def links(prints: DataFrame) -> DataFrame:
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, fingerprint (16 hex digits) and component_id (smallest id reachable)."""
-    rows = written(fingerprints(docs, text_col, [id_col]), "simhash-rows")
-    labelled = _components(rows, F.min(id_col).alias("component_id"))
+    rows = written(fingerprints(docs.select(F.col(id_col).alias("id"), text_col)), "simhash-rows")
+    labelled = _components(rows, F.min("id").alias("component_id"))
     found = rows.join(labelled, "_fp", "left")
-    return found.select(id_col, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _components(rows: DataFrame, smallest) -> DataFrame:
@@ -138,8 +136,9 @@ def _components(rows: DataFrame, smallest) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each component: the one with the smallest id (null last; of ties any one)."""
-    rows = with_row(fingerprints(docs, text_col), "simhash-docs")
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    keep = _components(rows.select(id_col, "_fp", "_row"), F.min(order).alias("component_id"))
-    keep = keep.select(F.col("component_id.row").alias("_row")).distinct()
-    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
+    rows = with_row(fingerprints(packed(docs, text=F.col(text_col))), "simhash-docs")
+    own = F.col(f"doc.{id_col}")
+    order = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("row"))
+    keep = _components(rows.select("doc", "_fp", "row"), F.min(order).alias("component_id"))
+    keep = keep.select(F.col("component_id.row").alias("row")).distinct()
+    return rows.join(keep, "row", "left_semi").select("doc.*")
