@@ -1,8 +1 @@
 """Operators for preparing training text; nothing else in the library imports this package."""
-
-from pyspark import cloudpickle
-
-import flowsentry
-
-# Functions of this package travel to executors by value, so executors need no copy of it.
-cloudpickle.register_pickle_by_value(flowsentry)
