@@ -15,9 +15,25 @@ from flowsentry.config import TARGET_FAR
 from flowsentry.operators.prefix import running_totals
 
 EPSILON = 1e-12
+# Half a unit in the last place of any double, and a little more: adding it gives the next one.
+_STEP = 2.0**-53 * (1 + 2.0**-52)
 WIDE = "decimal(38,0)"
 
 
+def _step(x: Column) -> Column:
+    return F.greatest(F.abs(x) * F.lit(_STEP), F.lit(EPSILON))
+
+
+def just_above(x: Column) -> Column:
+    """x plus 1e-12, or the next larger double where that is more."""
+    return x + _step(x)
+
+
+def just_below(x: Column) -> Column:
+    """x less 1e-12, or the next smaller double where that is less."""
+    return x - _step(x)
+
+
 def score_table(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = ()) -> DataFrame:
     """Distinct scores, highest first: rows ``n`` and attacks ``pos`` with running and full totals."""
     slim = df.select(*by, F.col(score).cast("double").alias("score"), F.col(label).cast("bigint").alias("_y"))
@@ -27,9 +43,10 @@ def score_table(df: DataFrame, score: str = "score", label: str = "label", by: S
 def _threshold(best_score: Column, best_next: Column, nothing: Column, everything: Column) -> Column:
     """Threshold that realises a cut below ``best_score``."""
     return (
-        F.when(nothing, F.col("max_score") + EPSILON)
-        .when(everything, best_score - EPSILON)
-        .otherwise((best_score + best_next) / 2)
+        F.when(nothing, just_above(F.col("max_score")))
+        .when(everything, just_below(best_score))
+        .when((best_score + best_next) / 2 > best_next, (best_score + best_next) / 2)
+        .otherwise(best_score)  # no double lies between the two
     )
 
 
@@ -80,8 +97,7 @@ def balanced_cut(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def far_cut(table: DataFrame, target_far: float = TARGET_FAR, by: Sequence[str] = ()) -> DataFrame:
     """Smallest threshold whose false-alarm rate stays within the target.
 
-    That is just above the (floor(n*far)+1)-th highest benign score. The added 1e-12 is lost
-    on scores above about 1e4; rescale such scores first. Without benign rows: +infinity.
+    That is just above the (floor(n*far)+1)-th highest benign score. Without benign rows: +infinity.
     """
     negatives = F.col("cum_n") - F.col("cum_pos")
     total = F.col("total_n") - F.col("total_pos")
@@ -93,8 +109,8 @@ def far_cut(table: DataFrame, target_far: float = TARGET_FAR, by: Sequence[str]
     )
     value = (
         F.when(F.col("lowest").isNull(), F.lit(float("inf")))
-        .when(F.col("above").isNull(), F.col("lowest") - 1.0)
-        .otherwise(F.col("above") + EPSILON)
+        .when(F.col("above").isNull(), F.least(F.col("lowest") - 1.0, just_below(F.col("lowest"))))
+        .otherwise(just_above(F.col("above")))
     )
     return found.select(*by, value.alias("threshold"))
 
@@ -126,8 +142,8 @@ def all_cuts(table: DataFrame, target_far: float = TARGET_FAR) -> DataFrame:
 
     far = (
         F.when(F.col("lowest").isNull(), F.lit(float("inf")))
-        .when(F.col("above").isNull(), F.col("lowest") - 1.0)
-        .otherwise(F.col("above") + EPSILON)
+        .when(F.col("above").isNull(), F.least(F.col("lowest") - 1.0, just_below(F.col("lowest"))))
+        .otherwise(just_above(F.col("above")))
     )
     return row.select(
         cut("acc").alias("accuracy"), cut("bal").alias("balanced"), F.col("f1"), far.alias("far")

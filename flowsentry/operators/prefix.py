@@ -22,6 +22,13 @@ from flowsentry.session import materialize
 RANGE = "_range"
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; keys come from the left side."""
+    other = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def range_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -97,7 +104,7 @@ def running_totals(
         *[F.sum(n).over(through).alias(f"_local_{n}") for n in sums],
         F.lead(key).over(inside).alias("_next_local"),
     )
-    return local.join(ranges, [*by, RANGE]).select(
+    return null_safe_join(local, ranges, [*by, RANGE]).select(
         *by,
         key,
         *sums,
@@ -108,17 +115,20 @@ def running_totals(
 
 
 def _order_ranges(df: DataFrame, key: str, tie: str) -> DataFrame:
-    """Ranges of (key, tie) in order. A key value held by many rows gets a range of its own,
-    which is then cut further by the tie column."""
+    """Ranges of (key, tie) in order. A key value held by many rows gets a range of its own, which
+    is then cut further by the tie column, into as many parts as it fills ranges. So there are
+    never more than about twice as many ranges as asked for."""
     bounds = range_bounds(df, key)
     hot = sorted({b for b in bounds if bounds.count(b) > 1})
     after_hot = [math.nextafter(h, math.inf) for h in hot]
     cut = with_range(df, key, [*bounds, *after_hot], out="_r1")
     if not hot:
         return cut.withColumn("_r2", F.lit(0))
-    cut = with_range(cut, tie, range_bounds(df, tie), out="_tie_range")
-    is_hot = F.col(key).cast("double").isin(hot)
-    return cut.withColumn("_r2", F.when(is_hot, F.col("_tie_range")).otherwise(0)).drop("_tie_range")
+    tie_bounds = range_bounds(df, tie)
+    cut = with_range(cut, tie, tie_bounds, out="_tie_range")
+    parts = F.create_map(*[F.lit(x) for h in hot for x in (h, bounds.count(h) + 1)])
+    share = F.floor(F.col("_tie_range") * parts[F.col(key).cast("double")] / F.lit(len(set(tie_bounds)) + 1))
+    return cut.withColumn("_r2", F.coalesce(share, F.lit(0)).cast("int")).drop("_tie_range")
 
 
 def with_ordinal(
@@ -143,7 +153,7 @@ def with_ordinal(
     local = Window.partitionBy(*by, "_r1", "_r2").orderBy(key, tie)
     numbered = cut.withColumn("_local", F.row_number().over(local))
     return (
-        numbered.join(offsets, [*by, "_r1", "_r2"])
+        null_safe_join(numbered, offsets, [*by, "_r1", "_r2"])
         .withColumn(out, F.col("_before") + F.col("_local"))
         .select(*df.columns, out)
     )
@@ -207,7 +217,7 @@ def cut_points(
             *[F.col(f"{c}_key") for c in names],
             *[F.lit(None).cast("bigint").alias(f"{c}_tie") for c in names],
         )
-    tied = df.select(*by, key, tie).join(split_run, [*by, key])
+    tied = null_safe_join(df.select(*by, key, tie), split_run, [*by, key])
     ranked = running_totals(tied, tie, {"n": F.lit(1), "take_n": F.col("_take")}, by=[*by, "_cut"])
     settled = (
         ranked.filter(F.col("cum_n") == F.col("take_n"))
@@ -215,7 +225,7 @@ def cut_points(
         .agg(*[F.max(F.when(F.col("_cut") == c, F.col(tie))).alias(f"{c}_tie") for c in names])
     )
     if by:
-        joined = found.join(settled, by, "left")
+        joined = null_safe_join(found, settled, by, "left")
     else:
         joined = found.withColumn("_all", F.lit(0)).join(settled, "_all", "left")
     return joined.select(

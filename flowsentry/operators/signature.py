@@ -80,14 +80,14 @@ def flow_keys(flows: DataFrame) -> DataFrame:
 
 
 def alert_keys(alerts: DataFrame) -> DataFrame:
-    """Matching keys of alerts; alerts without a day or protocol can match nothing."""
+    """Matching keys of alerts; alerts without a day or protocol are kept and match nothing."""
     return alerts.select(
         "alert_id",
         F.col("pcap_name").cast("string").alias("day"),
         network.protocol(F.col("proto")).alias("proto"),
         *_keys(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port")),
         micros(alert_time(F.col("timestamp"), F.col("pcap_name"))).alias("t"),
-    ).filter(F.col("day").isNotNull() & F.col("proto").isNotNull())
+    )
 
 
 def _near(points: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -149,7 +149,7 @@ def alert_kinds(flows: DataFrame, alerts: DataFrame) -> DataFrame:
     marked = _mark_key(alerts, flows.filter(_matchable()), EXACT_KEY, "_has_exact")
     kind = (
         F.when(F.col("_has_exact"), F.lit("exact"))
-        .when(F.col("pair").isNotNull() & F.col("service").isNotNull(), F.lit("fallback"))
+        .when(_matchable() & F.col("pair").isNotNull() & F.col("service").isNotNull(), F.lit("fallback"))
         .otherwise(F.lit("none"))
     )
     return marked.withColumn("kind", kind).drop("_has_exact")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.config import CascadeConfig
 from flowsentry.functions.columns import flow_time
-from flowsentry.operators.prefix import cut_points, with_ordinal, within_cut
+from flowsentry.operators.prefix import cut_points, null_safe_join, with_ordinal, within_cut
 
 LAST_MICROS = 2**52  # sorts after every real time and is still exact as a double
 
@@ -41,7 +41,7 @@ def _with_cuts(df: DataFrame, key: str, tie: str, sizes: dict, by: list[str]) ->
     cuts = cut_points(df.select(*by, key, tie), key, tie, sizes, by)
     wanted = [f"{c}_{part}" for c in sizes for part in ("key", "tie")]
     if by:
-        return df.join(cuts.select(*by, *wanted), by)
+        return null_safe_join(df, cuts.select(*by, *wanted), by)
     # Without groups the cuts are one row of numbers: they go into the plan as literals.
     row = cuts.first()
     return df.select("*", *[F.lit(row[c]).cast("bigint").alias(c) for c in wanted])
@@ -134,5 +134,9 @@ def calibration_split(splits: DataFrame, cfg: CascadeConfig) -> DataFrame:
     if n < cfg.min_calibration_benign:
         raise ValueError("validation holds too few benign rows for calibration")
     n_cal = max(50, min(round(n * cfg.calibration_fraction), n - 50))
-    chosen = sample_rows(benign.select("row_id"), n_cal, cfg.seed).withColumn("part", F.lit("calib"))
-    return val.join(chosen, "row_id", "left").fillna({"part": "gate"})
+    # The sample is the head of a seeded order; its end goes into the plan as two numbers.
+    keyed = benign.select("row_id", sample_key(F.col("row_id"), cfg.seed).alias("_h"))
+    row = cut_points(keyed, "_h", "row_id", {"keep": lambda total: F.least(total, F.lit(n_cal))}).first()
+    marked = val.withColumns({c: F.lit(row[c]).cast("bigint") for c in ("keep_key", "keep_tie")})
+    calib = (F.col("binary_label") == 0) & within_cut(sample_key(F.col("row_id"), cfg.seed), F.col("row_id"), "keep")
+    return marked.select(*val.columns, F.when(calib, F.lit("calib")).otherwise(F.lit("gate")).alias("part"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -38,11 +39,8 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "flows
 def apply_settings(spark: SparkSession) -> SparkSession:
     """Set the runtime settings the operators rely on in a session made elsewhere."""
     for key, value in SESSION_SETTINGS.items():
-        spark.conf.set(key, value)
-    local = spark.sparkContext.master.startswith("local")
-    if local and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        # The cluster default is far too many state stores and tasks for one machine.
-        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -62,9 +60,24 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
+_scratch: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in a folder of this application under the shared one, removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _scratch:
+        _scratch[app] = f"{shared_dir(spark)}/flowsentry-{app}"
+        atexit.register(remove_folder, spark, _scratch[app])
+    return f"{_scratch[app]}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder this module made; one whose session has ended already stays."""
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -122,3 +122,18 @@ def test_far_with_hot_scores(spark):
     df = spark.createDataFrame(rows, "label int, score double")
     t = C.far_cut(C.score_table(df), 0.01).first()[0]
     assert df.filter((F.col("label") == 0) & (F.col("score") >= t)).count() <= 0.01 * 603
+
+
+@pytest.mark.parametrize("base", [2e4, 3.7e9, 1e15, -5e7])
+def test_thresholds_hold_at_any_magnitude(spark, base):
+    ups = [base]
+    for _ in range(5):
+        ups.append(math.nextafter(ups[-1], math.inf))
+    benign = C.score_table(spark.createDataFrame([(0, s) for s in ups], "label int, score double"))
+    cut = C.all_cuts(benign, 0.34).first()
+    assert sum(s >= cut["far"] for s in ups) == 2  # a third of six, not one more
+    assert cut["accuracy"] > max(ups)  # flags nothing
+    mixed = C.score_table(spark.createDataFrame([(int(i > 2), s) for i, s in enumerate(ups)], "label int, score double"))
+    assert [s >= C.all_cuts(mixed, 0.0).first()["accuracy"] for s in ups] == [False] * 3 + [True] * 3
+    attacks = C.score_table(spark.createDataFrame([(1, s) for s in ups], "label int, score double"))
+    assert C.all_cuts(attacks, 0.1).first()["accuracy"] < min(ups)

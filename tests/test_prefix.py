@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from flowsentry.operators.prefix import cut_points, quantiles, running_totals, with_ordinal, within_cut
+from flowsentry.operators.prefix import _order_ranges, cut_points, quantiles, range_count, running_totals, with_ordinal, within_cut
 
 
 def _hot_rows(n=3000, seed=3):
@@ -73,3 +73,24 @@ def test_quantiles_equal_numpy(spark):
         assert abs(got[p] - np.quantile(values, p)) < 1e-12
     one = quantiles(spark.createDataFrame([(4.0,)], "v double"), "v", [0.3]).first()
     assert one["quantile"] == 4.0
+
+
+def test_a_missing_group_is_a_group(spark):
+    rows = [(None if i % 4 == 0 else f"g{i % 3}", i % 7, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, k int, row_id long")
+    got = {r.row_id: r.ordinal for r in with_ordinal(df, "k", "row_id", by=["g"]).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])), 1):
+            want[r[2]] = n
+    assert got == want
+    counts = {r.g: r.total_n for r in running_totals(df, "k", {"n": F.lit(1)}, by=["g"]).collect()}
+    assert counts[None] == 50 and sum(counts.values()) == 200
+
+
+def test_a_hot_key_fills_no_more_ranges_than_it_has_rows_for(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, 5).otherwise(F.col("id")).alias("k"), F.col("id").alias("row_id"))
+    cut = _order_ranges(df, "k", "row_id")
+    assert cut.select("_r1", "_r2").distinct().count() <= 3 * range_count(df)
+    got = with_ordinal(df, "k", "row_id").orderBy("row_id").collect()
+    assert [r.ordinal for r in got] == list(range(1, 4001))

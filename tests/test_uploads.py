@@ -104,3 +104,21 @@ def test_topic_patterns(spark, pattern, name, match):
 def test_evidence_summary(spark):
     df = spark.sql("SELECT map('b', '1', 'a', '', 'c', CAST(NULL AS STRING), 'A', 'x') AS e")
     assert df.select(U.evidence_summary(F.col("e"))).first()[0] == '{"A":"x","b":"1"}'
+
+
+def test_uploads_without_hashes_are_decided(spark):
+    rows = [
+        (1, "a", None, 0, 10), (2, "a", None, 10, 20), (3, None, "b", 20, 30), (4, None, "b", 30, 40),
+        (5, None, None, 35, 50), (6, None, None, 5, 50), (7, "c", "d", 50, 60), (8, "c", "e", 60, 70),
+    ]
+    log = spark.createDataFrame(
+        [("t", "s", "e", a, start, end, b, c) for a, c, b, start, end in rows],
+        "tenant_id string, source_id string, file_epoch string, arrival long, start_offset long, end_offset long, "
+        "batch_hash string, content_hash string",
+    )
+    got = {r.arrival: (r.decision, r.reason) for r in dedupe_uploads(log).collect()}
+    assert got == {
+        1: ("forward", None), 2: ("drop_duplicate", "content_hash_match"), 3: ("forward", None),
+        4: ("drop_duplicate", "batch_hash_match"), 5: ("forward", None), 6: ("drop_stale", None),
+        7: ("forward", None), 8: ("drop_duplicate", "content_hash_match"),
+    }

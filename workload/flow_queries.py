@@ -396,6 +396,21 @@ def split_by_file(spark, sf):
     return views.splits(spark, sf).select("row_id", "source_file", "split")
 
 
+@query(
+    "split_missing_file",
+    f"""WITH {views.FLOWS}, g AS (SELECT row_id, "timestamp", CASE WHEN k % 10 <> 3 THEN source_file END AS source_file FROM flows),
+    r AS (SELECT row_id, source_file, row_number() OVER (PARTITION BY source_file ORDER BY "timestamp" NULLS LAST, row_id) AS rn,
+      count(*) OVER (PARTITION BY source_file) AS n FROM g),
+    h AS (SELECT *, n - CAST(round_even(n * CAST(0.2 AS DOUBLE), 0) AS BIGINT) AS head FROM r)
+    SELECT row_id, source_file, CASE WHEN rn <= head - CAST(round_even(head * CAST(0.2 AS DOUBLE), 0) AS BIGINT) THEN 'train'
+      WHEN rn <= head THEN 'val' ELSE 'test' END AS split FROM h""",
+)
+def split_missing_file(spark, sf):
+    """Flows without a source file form a group of their own."""
+    flows = views.flows(spark, sf).withColumn("source_file", F.when(F.col("k") % 10 != 3, F.col("source_file")))
+    return split.temporal_split(flows).select("row_id", "source_file", "split")
+
+
 @query(
     "split_coarse_time",
     f"""WITH {views.FLOWS}, r AS (SELECT row_id, source_file,
@@ -468,9 +483,7 @@ def time_rank_nulls_first(spark, sf):
     f"""WITH {views.FLOWS} SELECT row_id, source_file, label FROM flows ORDER BY row_id LIMIT 500""",
 )
 def head_rows(spark, sf):
-    return views.flows(spark, sf).select("row_id", "source_file", "event_type").join(
-        views.raw_flows(spark, sf).select("row_id", "label"), "row_id"
-    ).orderBy("row_id").limit(500).select("row_id", "source_file", "label")
+    return views.raw_flows(spark, sf).select("row_id", "source_file", "label").orderBy("row_id").limit(500)
 
 
 @query("sample_rows")

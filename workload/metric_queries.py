@@ -23,13 +23,17 @@ def _curve(name: str, rel: str, score: str, where: str = "TRUE") -> str:
   FROM {name}_g WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
 
 
-EPS = "CAST(1e-12 AS DOUBLE)"
+
+
+def _step(x: str) -> str:
+    """What leads from a threshold to the one just above or below it."""
+    return f"greatest(abs({x}) * {2.0**-53 * (1 + 2.0**-52)!r}::DOUBLE, 1e-12::DOUBLE)"
 
 
 def _cut(curve: str, gain: str) -> str:
     """Threshold of the best cut, including the cut that flags nothing."""
-    return f"""(SELECT CASE WHEN score IS NULL THEN next + {EPS} WHEN next IS NULL THEN score - {EPS}
-      ELSE (score + next) / 2 END FROM (
+    return f"""(SELECT CASE WHEN score IS NULL THEN next + {_step("next")} WHEN next IS NULL THEN score - {_step("score")}
+      WHEN (score + next) / 2 > next THEN (score + next) / 2 ELSE score END FROM (
       SELECT score, next, {gain} AS gain, k FROM {curve}
       UNION ALL SELECT NULL, max(score), 0, 0 FROM {curve}) ORDER BY gain DESC, k LIMIT 1)"""
 
@@ -47,7 +51,8 @@ def f1_cut(curve):
 
 
 def far_cut(curve, far):
-    return f"""(SELECT max(score) FILTER (WHERE k - tp > floor((total - p) * CAST({far} AS DOUBLE))) + {EPS} FROM {curve})"""
+    above = f"max(score) FILTER (WHERE k - tp > floor((total - p) * CAST({far} AS DOUBLE)))"
+    return f"(SELECT {above} + {_step(above)} FROM {curve})"
 
 
 CURVES = views.SCORED + "," + _curve("c", "scored", "score") + "," + _curve("t", "scored", "tied")
@@ -162,6 +167,18 @@ def quantiles_by_file(spark, sf):
     return q.withColumn("quantile", F.round("quantile", 9))
 
 
+@query(
+    "quantiles_missing_file",
+    f"""WITH {views.SCORED}, g AS (SELECT tied, CASE WHEN row_id % 10 <> 3 THEN source_file END AS source_file FROM scored)
+    SELECT source_file, CAST(0.9 AS DOUBLE) AS q, round(quantile_cont(tied, 0.9), 9) AS quantile FROM g GROUP BY source_file""",
+)
+def quantiles_missing_file(spark, sf):
+    """Rows without a source file form a group of their own."""
+    scored = views.scored(spark, sf).withColumn("source_file", F.when(F.col("row_id") % 10 != 3, F.col("source_file")))
+    q = prefix.quantiles(scored, "tied", [0.9], by=["source_file"])
+    return q.withColumn("quantile", F.round("quantile", 9))
+
+
 PRED = "CASE WHEN score >= CAST(60 AS DOUBLE) THEN 1 ELSE 0 END"
 CONFUSION = f"""k AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 0) AS tn,
   count(*) FILTER (WHERE y = 0 AND p = 1) AS fp, count(*) FILTER (WHERE y = 1 AND p = 0) AS fn
@@ -351,7 +368,7 @@ def cascade_query(spark, sf):
 )
 def gate_where_escalated(spark, sf):
     def score_pool(pool):
-        return pool.select("row_id", (F.col("k") / 99.0).alias("gate_prob"))
+        return pool.withColumn("gate_prob", F.col("k") / 99.0)
 
     gated = cascade.gate_where_escalated(with_pvalues(spark, sf).drop("gate_prob"), score_pool)
     return gated.select("row_id", "gate_prob")

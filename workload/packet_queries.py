@@ -187,7 +187,7 @@ def artifact_evidence(spark, sf):
 @query(
     "sample_prediction",
     f"""WITH {views.FLOWS}, r AS (SELECT row_id, source_file, CASE WHEN value > 40 THEN '1' ELSE '0' END AS cascade_pred
-      FROM flows ORDER BY row_id LIMIT 5000)
+      FROM flows)
     SELECT * FROM r WHERE row_id = (SELECT coalesce(min(row_id) FILTER (WHERE cascade_pred = '1'), min(row_id)) FROM r)""",
 )
 def sample_prediction(spark, sf):

@@ -14,7 +14,7 @@ from workload.registry import query
 # One upload after the other per source: the list of accepted hashes travels with the recursion.
 DEDUP_SQL = """
 WITH RECURSIVE {uploads},
-numbered AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, source_id ORDER BY arrival) AS i FROM uploads),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, source_id ORDER BY arrival) AS i FROM {table}),
 walk AS (
   SELECT tenant_id, source_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS arrival,
     CAST([] AS VARCHAR[]) AS contents, CAST([] AS VARCHAR[]) AS batches,
@@ -35,22 +35,44 @@ walk AS (
     SELECT *, NOT (dup_content OR dup_batch OR stale) AS accepted FROM (
       SELECT n.*, w.contents, w.batches, w.end0, w.end1,
         CASE n.file_epoch WHEN 'e0' THEN w.end0 ELSE w.end1 END AS last_end,
-        list_contains(w.contents, n.content_hash) AS dup_content,
-        list_contains(w.batches, n.file_epoch || n.batch_hash) AS dup_batch,
+        coalesce(list_contains(w.contents, n.content_hash), false) AS dup_content,
+        coalesce(list_contains(w.batches, n.file_epoch || n.batch_hash), false) AS dup_batch,
         n.end_offset <= CASE n.file_epoch WHEN 'e0' THEN w.end0 ELSE w.end1 END AS stale
       FROM walk w JOIN numbered n ON n.tenant_id = w.tenant_id AND n.source_id = w.source_id AND n.i = w.i + 1))
 )"""
-DEDUP_CTE = DEDUP_SQL.format(uploads=views.UPLOADS.strip())
+DEDUP_CTE = DEDUP_SQL.format(uploads=views.UPLOADS.strip(), table="uploads")
+GAPS = """,
+gaps AS (SELECT * REPLACE (CASE WHEN arrival % 11 <> 0 THEN content_hash END AS content_hash,
+  CASE WHEN arrival % 13 <> 0 THEN batch_hash END AS batch_hash) FROM uploads)"""
+GAPS_CTE = DEDUP_SQL.format(uploads=views.UPLOADS.strip() + GAPS, table="gaps")
 
-DECISIONS = f"""{DEDUP_CTE} SELECT arrival, tenant_id, source_id, decision, effective_start_offset,
+DECIDED = """ SELECT arrival, tenant_id, source_id, decision, effective_start_offset,
   CASE WHEN decision IN ('forward', 'trim_overlap') THEN 1 ELSE 0 END AS should_forward, reason
   FROM walk WHERE i > 0"""
+DECISIONS = DEDUP_CTE + DECIDED
 
 
 @query("upload_dedup", DECISIONS)
 def upload_dedup(spark, sf):
-    decided = uploads.dedupe_uploads(views.uploads(spark, sf))
-    return decided.select(
+    return _decisions(views.uploads(spark, sf))
+
+
+@query("upload_dedup_missing_hash", GAPS_CTE + DECIDED)
+def upload_dedup_missing_hash(spark, sf):
+    """A missing hash makes no duplicate; the upload is judged by its offsets."""
+    log = views.uploads(spark, sf)
+    return _decisions(
+        log.withColumns(
+            {
+                "content_hash": F.when(F.col("arrival") % 11 != 0, F.col("content_hash")),
+                "batch_hash": F.when(F.col("arrival") % 13 != 0, F.col("batch_hash")),
+            }
+        )
+    )
+
+
+def _decisions(log):
+    return uploads.dedupe_uploads(log).select(
         "arrival",
         "tenant_id",
         "source_id",
