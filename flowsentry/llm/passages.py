@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .frames import written
+from .frames import forget, written
 
 SLICE = 2 << 20
 
@@ -159,11 +159,12 @@ def neighbours(places: DataFrame, order: list[str], match: Match, kind: type) ->
 
 def matches(around: DataFrame, match: Match, kind: type) -> DataFrame:
     """Spans of all places: neighbours by what follows them and, for keys with a place that has no match
-    there, also neighbours by what precedes them."""
+    there, also neighbours by what precedes them. `around` is a written table and is deleted."""
     spans = written(neighbours(around, ["key", "right", "left", "_id", "pos"], match, kind), "spans-right")
     matched = spans.select("key", "_id", "pos").distinct()
     alone = around.select("key", "_id", "pos").join(matched, ["key", "_id", "pos"], "left_anti").select("key").distinct()
     again = written(around.join(alone, "key", "left_semi"), "places-again")
+    forget(around)
     return spans.unionByName(neighbours(again, ["key", "left", "right", "_id", "pos"], match, kind))
 
 

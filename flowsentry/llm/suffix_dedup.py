@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import passages as P
 from . import words as W
-from .frames import written
+from .frames import forget, written
 
 
 @dataclass(frozen=True)
@@ -97,4 +97,5 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     around = texts.join(P.places_of(P.repeated_places(suffixes)), "_id")
     steps = limits.head + np.arange(limits.right), -1 - np.arange(limits.left)
     around = written(P.contexts(around, has_key, lambda h: np.maximum(h.astype(np.uint32), np.uint32(1)), 1, *steps), "suffix-contexts")
+    forget(suffixes)
     return P.reported(docs, P.merged(P.matches(around, _match(limits), np.uint32)), id_col, text_col)
