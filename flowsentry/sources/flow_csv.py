@@ -48,11 +48,18 @@ def flow_schema(columns: list[str]) -> T.StructType:
     )
 
 
-def badly_decoded(spark: SparkSession, paths: list[str]) -> set[str]:
-    """Files whose text is not valid UTF-8 (a replacement character appears)."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
-    bad = lines.filter(F.col("value").contains("�")).select("path").distinct()
-    return {_plain(r["path"]) for r in bad.collect()}
+def file_heads(spark: SparkSession, paths: list[str]) -> dict[str, tuple[str, bool]]:
+    """For each file its first line, and whether its text is not valid UTF-8 (a replacement
+    character appears). One pass over the text for all files; a row per file comes back."""
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("at")).alias("place"),
+        "value",
+    )
+    heads = lines.groupBy("path").agg(
+        F.min_by("value", "place").alias("header"), F.bool_or(F.col("value").contains("�")).alias("legacy")
+    )
+    return {_plain(r["path"]): (r["header"], r["legacy"]) for r in heads.collect()}
 
 
 def _plain(path: str) -> str:
@@ -65,15 +72,19 @@ def read_flow_folder(
     """Every flow CSV below a folder as one table with ``source_file`` and ``row_id``.
 
     Files are grouped by header, each group is one scan, and groups are united by name (absent
-    columns become null). ``header`` skips the look at each file's first line when all files are
-    known to share one. Files that are not UTF-8 are read as windows-1252.
+    columns become null). Files that are not UTF-8 are read as windows-1252; empty files are left
+    out. With ``header``, which all files then share, and without ``check_encoding`` no text is
+    read beforehand.
     """
     paths = flow_paths(spark, folder)
-    legacy = badly_decoded(spark, paths) if check_encoding else set()
+    heads = file_heads(spark, paths) if check_encoding or header is None else {}
     groups: dict[tuple, list[str]] = defaultdict(list)
     for path in paths:
-        line = header if header is not None else spark.read.text(path).first()["value"]
-        encoding = "windows-1252" if _plain(path) in legacy else "UTF-8"
+        line, legacy = heads.get(_plain(path), (header, False))
+        line = header if header is not None else line
+        if line is None:
+            continue
+        encoding = "windows-1252" if legacy and check_encoding else "UTF-8"
         groups[(tuple(header_columns(line)), encoding)].append(path)
     scans = [
         spark.read.schema(flow_schema(list(columns)))

@@ -4,6 +4,7 @@ from importlib import import_module
 
 AREAS = [
     "flow_queries",
+    "source_queries",
     "signature_queries",
     "packet_queries",
     "upload_queries",

@@ -491,12 +491,30 @@ def sample_rows(spark, sf):
     return split.sample_rows(views.flows(spark, sf).select("row_id", "multiclass_label"), 450)
 
 
-@query("stratified_split")
+def _sizes(labels: str) -> str:
+    """Rows of each split per label, from (binary_label, n)."""
+    return f"""h AS (SELECT binary_label, n, n - CAST(round_even(n * CAST(0.2 AS DOUBLE), 0) AS BIGINT) AS head FROM {labels}),
+      s AS (SELECT *, head - CAST(round_even(head * CAST(0.2 AS DOUBLE), 0) AS BIGINT) AS train FROM h)"""
+
+
+@query(
+    "stratified_split",
+    f"""WITH {views.FLOWS}, c AS (SELECT binary_label, count(*) AS n FROM flows GROUP BY 1), {_sizes("c")}
+    SELECT 'train' AS split, binary_label, train AS "count" FROM s UNION ALL SELECT 'val', binary_label, head - train FROM s
+    UNION ALL SELECT 'test', binary_label, n - head FROM s""",
+)
 def stratified_split(spark, sf):
     return split.stratified_split(views.flows(spark, sf)).groupBy("split", "binary_label").count()
 
 
-@query("calibration_split")
+@query(
+    "calibration_split",
+    f"""WITH {views.SPLITS}, v AS (SELECT count(*) FILTER (WHERE binary_label = 0) AS benign,
+      count(*) FILTER (WHERE binary_label = 1) AS attacks FROM splits WHERE split = 'val'),
+    n AS (SELECT *, greatest(50, least(CAST(round_even(benign * CAST(0.5 AS DOUBLE), 0) AS BIGINT), benign - 50)) AS calib FROM v)
+    SELECT 'calib' AS part, CAST(0 AS INTEGER) AS binary_label, calib AS "count" FROM n
+    UNION ALL SELECT 'gate', 0, benign - calib FROM n UNION ALL SELECT 'gate', 1, attacks FROM n""",
+)
 def calibration_split(spark, sf):
     from flowsentry.config import CascadeConfig
 

@@ -244,12 +244,6 @@ def alert_records(spark, sf):
     )
 
 
-@query("alert_messages")
-def alert_messages(spark, sf):
-    """Alerts as topic records; ids and times differ from run to run."""
-    return to_records(build_alerts(judged(spark, sf)), U.alert_topic(F.col("tenant_id")))
-
-
 @query(
     "tenant_counts",
     f"""WITH {views.UPLOADS} SELECT tenant_id, count(*) AS alerts FROM uploads
