@@ -52,12 +52,6 @@ def missing_columns(df: DataFrame, required: Sequence[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
-def require_columns(df: DataFrame, required: Sequence[str], what: str) -> None:
-    absent = missing_columns(df, required)
-    if absent:
-        raise ValueError(f"{what} lacks required columns: {absent}")
-
-
 def to_double(c: Column) -> Column:
     """Parse to double; unreadable text and NaN become null."""
     value = c.try_cast("double")

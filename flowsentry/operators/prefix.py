@@ -245,14 +245,18 @@ def within_cut(key: Column, tie: Column, cut: str) -> Column:
     )
 
 
-def quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+def quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group and probability.
 
-    Columns: ``by``, ``q`` and ``quantile``. Null values are ignored.
+    Columns: ``by``, ``q`` and ``quantile``. Null values are ignored. ``weight`` names a column
+    that tells how many rows a row stands for.
     """
     by = list(by)
-    present = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    counted = running_totals(present, "_v", {"n": F.lit(1)}, by=by)
+    times = F.col(weight) if weight else F.lit(1)
+    present = df.select(*by, F.col(value).cast("double").alias("_v"), times.alias("_w"))
+    counted = running_totals(present.filter(F.col("_v").isNotNull()), "_v", {"n": F.col("_w")}, by=by)
     wanted = counted.withColumn("q", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     pos = (F.col("total_n") - 1) * F.col("q")
     lo = F.floor(pos) + 1

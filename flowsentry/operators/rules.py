@@ -105,9 +105,16 @@ def with_windowed_rules(df: DataFrame, cfg: RateRules = RateRules()) -> DataFram
 
     def flagged(frame: DataFrame, window_s: float) -> DataFrame:
         windowed = _window_inputs(frame, window_s, cfg)
+        busy = _busy_sources(windowed, cfg)
+        # Only flows that can count as a probe or an attempt meet the busy sources; the other wide
+        # rows pass by as a union and are not shuffled.
+        concerned = (F.col("_micro") | F.col("_auth")) & F.col("source_ip").isNotNull() & F.col("_window").isNotNull()
+        concerned = F.coalesce(concerned, F.lit(False))
         # Few (source, window) pairs are busy: AQE broadcasts them when their measured size
         # allows, and splits a skewed source otherwise.
-        return windowed.join(_busy_sources(windowed, cfg), ["source_ip", "_window"], "left")
+        met = windowed.filter(concerned).join(busy, ["source_ip", "_window"], "left").select(*windowed.columns, "_scans", "_hammered")
+        none = {c: F.lit(None).cast(busy.schema[c].dataType) for c in ("_scans", "_hammered")}
+        return met.unionByName(windowed.filter(~concerned).withColumns(none))
 
     scans = F.col("_micro") & F.coalesce(F.col("_scans"), F.lit(False))
     hammers = F.col("_auth") & F.coalesce(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions.columns import col
 from flowsentry.operators.prefix import quantiles
+from flowsentry.session import materialize
 
 
 def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -20,10 +21,9 @@ def long_form(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def numeric_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per feature: exact median, and mean and population deviation after median imputation."""
-    cells = long_form(df, columns)
-    # Equal values collapse before the shuffle.
-    counted = cells.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    medians = quantiles(cells, "value", [0.5], by=["feature"]).select(
+    # Equal values collapse before the shuffle; the input is read once, into these counts.
+    counted = materialize(long_form(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n")), "value-counts")
+    medians = quantiles(counted, "value", [0.5], by=["feature"], weight="n").select(
         "feature", F.col("quantile").alias("median")
     )
     moments = counted.groupBy("feature").agg(

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from flowsentry.functions.columns import canonical_name, unique_names
 from flowsentry.schema import FLOW_TEXT
+from flowsentry.session import materialize
+
+MAX_BROADCAST_BLOCKS = 1_000_000
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.[cC][sS][vV]") -> DataFrame:
@@ -113,7 +116,8 @@ def number_rows(scan: DataFrame) -> DataFrame:
 
     Rows of one file block are neighbours in their task, so a row's place in its block is its
     running id minus the smallest running id of the block. Only the per-block counts are
-    brought together; the rows themselves are not shuffled or sorted.
+    brought together, in one task: a row per 128 MB of text. Up to a million blocks they are
+    broadcast and the rows are not shuffled; beyond that the join decides for itself.
     """
     marked = scan.withColumn("_mid", F.monotonically_increasing_id())
     blocks = marked.groupBy("_path", "_block").agg(F.min("_mid").alias("_first"), F.count("*").alias("_n"))
@@ -121,6 +125,9 @@ def number_rows(scan: DataFrame) -> DataFrame:
     offsets = blocks.select(
         "_path", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
     )
+    offsets = materialize(offsets, "block-offsets")
+    if offsets.count() <= MAX_BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     columns = [c for c in scan.columns if c not in ("_path", "_block")]
     return marked.join(offsets, ["_path", "_block"]).select(
         *[F.col(f"`{c}`") for c in columns], (F.col("_before") + F.col("_mid") - F.col("_first")).alias("row_id")
