@@ -165,11 +165,26 @@ def seq_recon(spark, sf):
     return model.score(rows)
 
 
-@query("isotonic")
+# The isotonic fit at a point is the largest, over all beginnings up to it, of the smallest mean of a
+# stretch that ends at it or later. Between points it is linear, beyond the ends constant.
+ISOTONIC_SQL = f"""WITH {views.SCORED},
+pts AS (SELECT score AS x, CAST(count(*) AS DOUBLE) AS w, CAST(sum(binary_label) AS DOUBLE) AS s FROM scored WHERE split = 'val' GROUP BY score),
+cum AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(s) OVER (ORDER BY x) AS cs, w, s FROM pts),
+means AS (SELECT a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM cum a JOIN cum b ON b.i >= a.i),
+ends AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM means),
+fit AS (SELECT x, iso, lead(x) OVER (ORDER BY x) AS next_x, lead(iso) OVER (ORDER BY x) AS next_iso
+  FROM (SELECT i, max(m) AS iso FROM ends GROUP BY i) JOIN cum USING (i)),
+found AS (SELECT t.row_id, t.score, f.* FROM (SELECT * FROM scored WHERE split = 'test') t ASOF LEFT JOIN fit f ON t.score >= f.x)
+SELECT row_id, score, round(CASE WHEN x IS NULL THEN (SELECT iso FROM fit ORDER BY x LIMIT 1) WHEN next_x IS NULL THEN iso
+  ELSE iso + (next_iso - iso) * (score - x) / (next_x - x) END, 9) AS score_isotonic FROM found"""
+
+
+@query("isotonic", ISOTONIC_SQL)
 def isotonic(spark, sf):
     s = views.scored(spark, sf)
     model = baselines.fit_isotonic(s.filter("split = 'val'"), "score")
-    return baselines.apply_isotonic(model, s.filter("split = 'test'"), "score").select("row_id", "score", "score_isotonic")
+    fitted = baselines.apply_isotonic(model, s.filter("split = 'test'"), "score")
+    return fitted.select("row_id", "score", F.round("score_isotonic", 9).alias("score_isotonic"))
 
 
 # --- comparisons that SQL can express ---------------------------------------
