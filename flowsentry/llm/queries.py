@@ -22,7 +22,7 @@ def op1_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return quality_rules.judge(table(spark, folder, "documents"))
+    return quality_rules.judge(table(spark, folder, "documents")).drop("n_repeats")
 
 
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op1_url_reputation": sql.OP1, "op6_mixing": sql.OP6, "op8_sharding": sql.OP8}
+SQL: dict[str, str] = {"op1_url_reputation": sql.OP1, "op2_quality_rules": sql.OP2, "op6_mixing": sql.OP6, "op8_sharding": sql.OP8}

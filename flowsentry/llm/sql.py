@@ -137,3 +137,54 @@ WITH steps AS (
 )
 SELECT doc_id, size, text_crc32, 'rows' AS law, part::INTEGER AS shard, (spot - part * total // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM cut
 """
+
+
+def _windows(size: int) -> str:
+    """Every run of `size` words of a text: its place and its words."""
+    more = ", ".join(f"lead(word, {k}) OVER w" for k in range(1, size))
+    return f"""
+      SELECT * FROM (SELECT doc_id, i, CASE WHEN lead(word, {size - 1}) OVER w IS NOT NULL THEN concat_ws(' ', word, {more}) END AS gram
+        FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE gram IS NOT NULL"""
+
+
+def _covered(size: int) -> str:
+    """Words of each text inside runs of `size` words that occur twice or more."""
+    return f"""
+      SELECT doc_id, count(*) AS n FROM (
+        SELECT DISTINCT doc_id, unnest(range(i, i + {size})) AS place
+        FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS often FROM grams{size}) WHERE often > 1)
+      GROUP BY doc_id"""
+
+
+OP2 = rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS found FROM documents
+), words AS (
+  SELECT doc_id, unnest(found) AS word, unnest(range(len(found))) AS i FROM texts
+), grams3 AS ({_windows(3)}
+), grams8 AS ({_windows(8)}
+), repeated3 AS ({_covered(3)}
+), repeated8 AS ({_covered(8)}
+), pairs AS (
+  SELECT a.doc_id, a.i, b.i - a.i AS far FROM grams8 a JOIN grams8 b ON a.doc_id = b.doc_id AND a.gram = b.gram AND a.i < b.i
+), longest AS (
+  SELECT doc_id, max(n) + 7 AS longest FROM (
+    SELECT doc_id, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, far ORDER BY i) AS run FROM pairs)
+    GROUP BY doc_id, far, run)
+  GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), chars AS (
+  SELECT doc_id, sum(length(word)) AS n FROM words GROUP BY doc_id
+), counts AS (
+  SELECT doc_id, len(found)::BIGINT AS n_words, coalesce(chars.n, 0)::BIGINT AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(lines.n, 0)::BIGINT AS n_dup_lines,
+    coalesce(repeated3.n, 0)::BIGINT AS n_repeat_words, coalesce(repeated8.n, 0)::BIGINT AS covered_words, coalesce(longest, 0)::BIGINT AS longest_repeat
+  FROM texts LEFT JOIN chars USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN repeated3 USING (doc_id)
+    LEFT JOIN repeated8 USING (doc_id) LEFT JOIN longest USING (doc_id)
+), failed AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
+)
+SELECT *, NOT base_failed AND covered_words <= 0.45 * n_words AND longest_repeat <= 400 AS kept FROM failed
+"""

@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
-@pytest.mark.parametrize("name", ["op1_url_reputation", "op6_mixing", "op8_sharding"])
+@pytest.mark.parametrize("name", ["op1_url_reputation", "op2_quality_rules", "op6_mixing", "op8_sharding"])
 def test_equals_sql(spark, name):
     verdict = check.compare(spark, check.database(FOLDER), FOLDER, name)
     assert verdict.startswith("ok"), verdict
