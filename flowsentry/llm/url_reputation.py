@@ -7,8 +7,8 @@ the level's groups differ beyond binomial noise (method of moments on counts). A
 lower bound of its posterior bad share exceeds the limit; hosts without outcomes get their domain's
 posterior, unknown domains their suffix's, and unknown suffixes the prior of all pages.
 
-Only counts leave the pages: outcomes are aggregated before every shuffle, and the three levels meet
-in joins whose right side has one row per key.
+Only counts leave the pages: outcomes are aggregated before every shuffle, the counts of hosts are
+written once, and the three levels meet in joins whose right side has one row per key.
 
 Defined results: a null url, or one without "://", has an empty host and path; it is judged as the host
 "". Repeated pages are judged one by one; a page counts as often as it has outcomes, null outcomes not at
@@ -23,6 +23,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .frames import written
+
 #: (verdict, host, start of the path). A rule fits its host and all hosts below it.
 RULES = (
     ("allow", "com", "/"),
@@ -114,9 +116,9 @@ def posterior(hosts: DataFrame, limits: ReputationLimits = ReputationLimits()) -
     share = (limits.base_share * limits.base_strength + F.col("bad")) / (limits.base_strength + F.col("n"))
     every = top.select(share.alias("mean"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(every))
-    suffixes = _shrunk(suffixes, limits).select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
+    suffixes = written(_shrunk(suffixes, limits).select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean")), "suffixes")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
-    domains = _shrunk(domains, limits).select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean"))
+    domains = written(_shrunk(domains, limits).select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean")), "domains")
     return _shrunk(hosts.join(domains, "domain"), limits).select("host", "n", "bad", "a", "b")
 
 
@@ -138,7 +140,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     labels = labels.groupBy("_id").agg(F.count("*").alias("_n"), F.sum("_bad").alias("_bad"))
     counted = split.join(labels, "_id", "left").groupBy("host").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad"))
     suffix, domain = levels_of(F.col("host"))
-    judged = posterior(counted.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "bad"), limits)
+    # One row per host, read by every level.
+    counted = written(counted.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "bad"), "hosts")
+    judged = posterior(counted, limits)
     bound = lower_bound(F.col("a"), F.col("b"), limits.z)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("bound") > limits.max_bad_share, "block").otherwise("allow")
