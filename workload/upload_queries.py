@@ -176,16 +176,10 @@ def malformed_events(spark, sf):
       CASE WHEN topic LIKE 'raw.tenant.tenant_1%' THEN 1 ELSE 0 END AS in_pattern FROM records""",
 )
 def tenant_isolation(spark, sf):
-    events = parse_events(topic_records(spark, sf).filter(~F.col("value").startswith("["))).unionByName(
-        parse_events(topic_records(spark, sf).filter(F.col("value").startswith("["))).withColumn("tenant_id", F.lit(None).cast("string"))
-    )
-    # A cut-off value may still yield its first field; only whole objects name their tenant.
-    whole = topic_records(spark, sf).select("offset", F.try_parse_json("value").isNotNull().alias("whole"))
-    joined = events.join(whole, "offset")
-    tenant = F.when(F.col("whole"), F.col("tenant_id"))
-    return joined.select(
+    """Records that are not whole objects belong to the tenant their topic names."""
+    return parse_events(topic_records(spark, sf)).select(
         "offset",
-        U.tenant_of(tenant, F.col("topic")).alias("tenant"),
+        U.tenant_of(F.col("tenant_id"), F.col("topic")).alias("tenant"),
         U.topic_matches(F.col("topic"), "raw.tenant.tenant_1*").cast("int").alias("in_pattern"),
     )
 
