@@ -168,6 +168,36 @@ def matches(around: DataFrame, match: Match, kind: type) -> DataFrame:
     return spans.unionByName(neighbours(again, ["key", "left", "right", "_id", "pos"], match, kind))
 
 
+def keyed_windows(texts: DataFrame, windows: Callable[[np.ndarray, W.Words, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """texts (_id, _text, places: array of (pos, key)) to (key, _id, pos): `windows` gives places and keys
+    from the word hashes of a slice, its words, and the given places with their keys."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, places = batch.column(0).to_numpy(), batch.column(2)
+            for first, h, found in W.word_slices(batch.column(1), SLICE):
+                own = places.slice(first, len(found.row_end))
+                row = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
+                flat = own.flatten()
+                pos, key = (flat.field(k).to_numpy() for k in (0, 1))
+                at = found.row_start[row] + pos
+                ok = at < found.row_end[row]
+                start, hashed = windows(h, found, at[ok], key[ok])
+                row = found.row[start]
+                columns = [hashed.view(np.int64), ids[first + row], (start - found.row_start[row]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "_id", "pos"])
+
+    return texts.mapInArrow(work, "key long, _id long, pos int")
+
+
+def repeated_windows(windows: DataFrame, size: int) -> DataFrame:
+    """Spans (_id, begin, end, other) of the windows (key, _id, pos) of `size` words that occur more than
+    once; other is the least text that has the window too, this one if there is none other."""
+    seen = windows.groupBy("key").agg(F.count("*").alias("n"), F.min("_id").alias("low"), F.max("_id").alias("high")).where("n > 1").drop("n")
+    other = F.when(F.col("low") == F.col("_id"), F.col("high")).otherwise(F.col("low"))
+    return windows.join(seen, "key").select("_id", F.col("pos").alias("begin"), (F.col("pos") + size).alias("end"), other.alias("other"))
+
+
 def repeated_places(places: DataFrame) -> DataFrame:
     """The places (key, _id, pos) whose key occurs more than once."""
     return places.join(places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")

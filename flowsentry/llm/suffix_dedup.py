@@ -5,16 +5,14 @@ neighbouring ones. Equal passages of `min_words` words have a minimiser in their
 the same place, and from there on at least `head` = min_words - spread + 1 words in common. So:
 
 1. Every retained suffix yields a hash of its first `head` words; hashes that occur once are dropped.
-2. The words around the rest are fetched: `left` before, and those after the head.
-3. These suffixes are sorted by head and following words in range partitions. Neighbours are compared and
-   their match is extended right and left. Heads with a suffix that stays short of min_words are sorted
-   once more by the words before the head, so the neighbour with the longest match to the left is
-   compared too. A partition's first and last suffix go to one more small comparison, so no pair of
-   neighbours is missed and one head may fill many partitions.
-4. Spans of at least min_words are joined to maximal stretches per text.
+2. Of the texts with the others, every window of min_words words whose minimiser starts a repeated head
+   is hashed (64 bits). Equal windows have equal minimisers at equal places, so no repeat is left out.
+3. Windows are counted by their hash. Those that occur twice or more are spans, however many texts share
+   a head and wherever it lies in the repeat.
+4. Spans are joined to maximal stretches per text.
 
-No group is gathered and no pairs of a group are formed: a suffix meets its neighbours only. What is
-compared are 32-bit word hashes under a 64-bit hash of the head.
+No group is gathered and no pairs of a group are formed: windows are counted with pre-aggregation, and
+each window meets the count of its own hash only.
 
 Defined results: null and empty texts, and texts of fewer than min_words words, have no row. Repeated
 rows with min_words words or more are repeats of each other from end to end. Words are compared as they
@@ -47,14 +45,6 @@ class SuffixLimits:
     def head(self) -> int:
         return self.min_words - self.spread + 1
 
-    @property
-    def left(self) -> int:
-        return self.spread
-
-    @property
-    def right(self) -> int:
-        return self.spread + 1
-
 
 def minimisers(h: np.ndarray, found: W.Words, limits: SuffixLimits) -> np.ndarray:
     """Places of the retained suffixes that have a whole head."""
@@ -70,17 +60,6 @@ def minimisers(h: np.ndarray, found: W.Words, limits: SuffixLimits) -> np.ndarra
     return at[at + limits.head <= ends[at]]
 
 
-def _match(limits: SuffixLimits) -> P.Match:
-    def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.logical_and.accumulate((a == b) & (a != 0), axis=1).sum(axis=1)
-
-    def match(right_a, left_a, right_b, left_b):
-        before, after = same(left_a, left_b), limits.head + same(right_a, right_b)
-        return before + after >= limits.min_words, -before, after, -before, after
-
-    return match
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: SuffixLimits = SuffixLimits()) -> DataFrame:
     """One row per document and maximal repeated passage: id, first_word, end_word, n_words, other_doc_id."""
 
@@ -88,14 +67,25 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         at = minimisers(h, found, limits)
         return at, W.window_hashes(h, limits.head)[at]
 
-    def has_key(h: np.ndarray, found: W.Words):
-        values = W.window_hashes(h, limits.head).view(np.int64)
-        return lambda at, key: (at < len(values)) & (values[np.minimum(at, len(values) - 1)] == key) if len(values) else at < 0
+    def windows(h: np.ndarray, found: W.Words, at: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        values, full = W.window_hashes(h, limits.head), W.window_hashes(h, limits.min_words)
+        if not len(full):
+            return np.zeros(0, np.int64), full
+        at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == key.view(np.uint64))]
+        grams = np.maximum(W.window_hashes(h, limits.kmer), np.uint64(1))
+        least = W.sliding(np.minimum, grams, limits.spread)
+        low, high = found.row_start[found.row[at]], found.row_end[found.row[at]]
+        wanted = np.zeros(len(full), bool)
+        for k in range(limits.spread):
+            inside = (at - k >= low) & (at - k + limits.min_words <= high)
+            start, least_of = at[inside] - k, grams[at[inside]]
+            wanted[start[least[start] == least_of]] = True
+        start = np.flatnonzero(wanted)
+        return start, full[start]
 
     texts = docs.select(F.xxhash64(text_col).alias("_id"), F.col(text_col).alias("_text"))
     suffixes = written(P.keyed_places(texts, heads), "suffixes")
-    around = texts.join(P.places_of(P.repeated_places(suffixes)), "_id")
-    steps = limits.head + np.arange(limits.right), -1 - np.arange(limits.left)
-    around = written(P.contexts(around, has_key, lambda h: np.maximum(h.astype(np.uint32), np.uint32(1)), 1, *steps), "suffix-contexts")
+    marked = texts.join(P.places_of(P.repeated_places(suffixes)), "_id")
+    found = written(P.keyed_windows(marked, windows), "suffix-windows")
     forget(suffixes)
-    return P.reported(docs, P.merged(P.matches(around, _match(limits), np.uint32)), id_col, text_col)
+    return P.reported(docs, P.merged(P.repeated_windows(found, limits.min_words)), id_col, text_col)

@@ -154,6 +154,19 @@ def test_suffix_dedup_needs_the_neighbour_to_the_left(make_docs):
     assert got == {1: (0, 51), 2: (0, 51)}
 
 
+def test_suffix_dedup_of_overlapping_excerpts(make_docs):
+    """Excerpts of one text, just above and below 50 words: most repeats span both sides of a head."""
+    rng, text = random.Random(5), prose(83, 150).split()
+    rows = []
+    for k in range(300):
+        n, at = rng.randint(30, 54), rng.randint(0, 96)
+        rows.append((k, f"{prose(2000 + k, 25)} {' '.join(text[at : at + n])} {prose(3000 + k, 25)}", "s"))
+    got = defaultdict(set)
+    for r in suffix_dedup.repeated_passages(make_docs(rows)).collect():
+        got[r.doc_id].update(range(r.first_word, r.end_word))
+    assert dict(got) == dict(covered(rows, 50)) and len(got) > 20
+
+
 def test_window_dedup(make_docs, odd_rows):
     rows, docs = passages(make_docs, odd_rows)
     near = prose(72, 80).split()
