@@ -1,8 +1,6 @@
 """Models fitted on the flow features of whole tables.
 
-The rotation forest and the gate run with reduced settings (SMALL, SMALL_GATE, LOOSE): their full
-settings, 200 trees of depth 20 and 300 rounds of depth 8, take too long for a query of this set.
-The other models run with their defaults.
+All models run with their default settings.
 """
 
 from __future__ import annotations
@@ -28,11 +26,7 @@ from workload.metric_queries import CASCADE, RATES_SQL, with_pvalues
 from workload.registry import query
 
 NOT_FEATURES = ["value", "k", "user_id", "event_type"]
-SMALL = ScorerConfig(n_rff_components=24, n_rotations=4, num_trees=8, max_depth=6)
-SMALL_GATE = GateConfig(max_iter=5, max_depth=3)
-LOOSE = CascadeConfig(
-    alpha_escalate=0.5, min_pool=20, min_pool_class=5, min_calibration_benign=20, calibration_fraction=0.3
-)
+SCORER, GATE, CASCADE_CONFIG = ScorerConfig(), GateConfig(), CascadeConfig()
 
 
 def flow_features(spark, sf):
@@ -82,7 +76,7 @@ def selfsup_score(spark, sf):
     s = materialize(split_features(spark, sf), "split-features")
     benign = s.filter("binary_label = 0")
     scorer = RotationScorer.fit(
-        benign.filter("split = 'train'").drop("split"), benign.filter("split = 'val'").drop("split"), SMALL
+        benign.filter("split = 'train'").drop("split"), benign.filter("split = 'val'").drop("split"), SCORER
     )
     return scorer.predict(s.filter("split = 'test'")).select("row_id", "rf_score", "rf_pred")
 
@@ -110,7 +104,7 @@ def cascade_result(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _results:
         signatures = read_signature_table(external_table(spark, sf))
-        _results[key] = run_cascade(flow_features(spark, sf), signatures, LOOSE, SMALL, SMALL_GATE)
+        _results[key] = run_cascade(flow_features(spark, sf), signatures, CASCADE_CONFIG, SCORER, GATE)
     return _results[key]
 
 
@@ -122,7 +116,7 @@ def cascade_run(spark, sf):
 @query("cascade_status")
 def cascade_status(spark, sf):
     result = cascade_result(spark, sf)
-    return batch_status(result, LOOSE)
+    return batch_status(result, CASCADE_CONFIG)
 
 
 @query("cascade_report")
@@ -135,7 +129,7 @@ def file_inference(spark, sf):
     s = materialize(split_features(spark, sf), "split-features")
     benign = s.filter("binary_label = 0").drop("source_port")
     scorer = RotationScorer.fit(
-        benign.filter("split = 'train'").drop("split"), benign.filter("split = 'val'").drop("split"), SMALL
+        benign.filter("split = 'train'").drop("split"), benign.filter("split = 'val'").drop("split"), SCORER
     )
     path = scratch_path(spark, "scorer")
     scorer.save(spark, path)
