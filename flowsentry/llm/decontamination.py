@@ -2,7 +2,9 @@
 
 A mask hashes the words at its 1-places and ignores the others, so a substituted word under a 0 does
 not hide a match. Words are runs of letters and digits with A-Z lower-cased. The four masks hit every
-placement of 4 substitutions in 20 words and of 3 in 15. Hashes of test items and of training texts are
+placement of 4 substitutions in 20 words and of 3 in 15. Where they miss a placement in a short item (of
+fewer than 12 words), the item has masks of its own, the whole item without the substituted words; these
+are hashed only if there are items of that length. Hashes of test items and of training texts are
 joined; around each hit the aligned words are compared, and a window of `window` words (or the whole
 item, if shorter) with at least `share` equal words is an overlap.
 
@@ -19,6 +21,8 @@ columns are ignored by overlaps() and passed on by keep_clean(). Empty tables gi
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,10 +48,24 @@ class SeedLimits:
     share: float = 0.8
 
 
+def short_masks(limits: SeedLimits) -> list[tuple[int, str]]:
+    """(words of the item, mask) for all placements of unequal words in an item that `masks` never hit."""
+    out = {}
+    for size in range(min(map(len, limits.masks)), limits.window + 1):
+        hits = [{s + k for k, bit in enumerate(m) if bit == "1"} for m in limits.masks for s in range(size - len(m) + 1)]
+        for wrong in itertools.combinations(range(size), size - math.ceil(limits.share * size - 1e-9)):
+            if all(hit.intersection(wrong) for hit in hits):
+                out[size, "".join("0" if k in wrong else "1" for k in range(size)).strip("0")] = None
+    return list(out)
+
+
 def seed_hashes(h: np.ndarray, row: np.ndarray, masks: tuple[str, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each mask the places where it fits into a text, and its hash there."""
+    """For each mask the places where it fits into a text, and its hash there; an empty mask has none."""
     out = []
     for number, mask in enumerate(masks, 1):
+        if not mask:
+            out.append((np.zeros(0, np.int64), np.zeros(0, np.uint64)))
+            continue
         n = max(0, len(h) - len(mask) + 1)
         g = np.full(n, number * 0x51ED27, np.uint64)
         for k in (k for k, bit in enumerate(mask) if bit == "1"):
@@ -68,15 +86,19 @@ def _word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
         yield first, data, W.span_hashes(data, found.start, found.end), found
 
 
-def _item_seeds(items: DataFrame, limits: SeedLimits) -> DataFrame:
+def _item_seeds(items: DataFrame, limits: SeedLimits, short: list[tuple[int, str]]) -> DataFrame:
+    masks, sizes = (*limits.masks, *(m for _, m in short)), [*(0 for _ in limits.masks), *(n for n, _ in short)]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, h, found in _word_hashes(batch.column(1)):
                 start = found.row_start
                 texts = [h[a:b].view(np.int64) for a, b in zip(start, found.row_end)]
                 seeds = [[] for _ in texts]
-                for at, g in seed_hashes(h, found.row, limits.masks):
-                    for i, value in zip(at.tolist(), g.view(np.int64).tolist()):
+                count = found.count()
+                for (at, g), size in zip(seed_hashes(h, found.row, masks), sizes):
+                    own = (count[found.row[at]] == size) | (size == 0)
+                    for i, value in zip(at[own].tolist(), g[own].view(np.int64).tolist()):
                         seeds[found.row[i]].append({"at": i - int(start[found.row[i]]), "seed": value})
                 kind = pa.list_(pa.struct([("at", pa.int32()), ("seed", pa.int64())]))
                 columns = [batch.column(0).slice(first, len(texts)), pa.array(texts, pa.list_(pa.int64())), pa.array(seeds, kind)]
@@ -114,7 +136,7 @@ def _regions(places: np.ndarray, spans: np.ndarray, found: W.Words, margin: int)
         yield first, len(places), left, right
 
 
-def _training_hits(docs: DataFrame, table, limits: SeedLimits) -> DataFrame:
+def _training_hits(docs: DataFrame, table, limits: SeedLimits, masks: tuple[str, ...]) -> DataFrame:
     """Stretches of training words with the hits inside: (id, digest, begin, words, hits)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +145,7 @@ def _training_hits(docs: DataFrame, table, limits: SeedLimits) -> DataFrame:
         for batch in batches:
             for first, _, h, found in _word_hashes(batch.column(1)):
                 places, seeds, spans = [], [], []
-                for (at, g), mask in zip(seed_hashes(h, found.row, limits.masks), limits.masks):
+                for (at, g), mask in zip(seed_hashes(h, found.row, masks), masks):
                     place = g & low
                     hit = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
                     places.append(at[hit])
@@ -204,10 +226,13 @@ def _overlaps(docs: DataFrame, items: DataFrame, limits: SeedLimits) -> DataFram
     """docs (id, text) and items (item, text): one row per verified alignment, and the items' classes."""
     spark = docs.sparkSession
     classes = items.where("text is not null").groupBy("text").agg(F.min("item").alias("item"))
-    test = written(_item_seeds(classes.select("item", "text"), limits), "test-seeds")
+    short = short_masks(limits)
+    test = written(_item_seeds(classes.select("item", "text"), limits, short), "test-seeds")
+    lengths = {r.n for r in test.select(F.size("item_words").alias("n")).where(F.col("n").isin([n for n, _ in short])).distinct().collect()} if short else set()
+    masks = (*limits.masks, *(m if n in lengths else "" for n, m in short))
     seeds = test.select("item", F.explode("seeds").alias("s")).select("item", F.col("s.at").alias("item_at"), F.col("s.seed").alias("seed"))
     table = spark.sparkContext.broadcast(_bit_table(seeds).tobytes())
-    hits = written(_training_hits(docs, table, limits), "training-hits").withColumn("region", F.monotonically_increasing_id())
+    hits = written(_training_hits(docs, table, limits, masks), "training-hits").withColumn("region", F.monotonically_increasing_id())
     hits = written(hits, "training-regions")
     single = hits.select("region", F.explode("hits").alias("s")).select("region", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
     aligned = single.join(seeds, "seed").select("region", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()

@@ -67,6 +67,22 @@ def test_masks_hit_every_placement():
             )
 
 
+def test_short_items_with_every_placement_of_substitutions(spark, make_docs):
+    import itertools
+
+    items = [(n, prose(5000 + n, n)) for n in range(6, 13)]
+    rows = []
+    for n, text in items:
+        for wrong in itertools.combinations(range(n), n - -(-4 * n // 5)):
+            words = text.split()
+            for k in wrong:
+                words[k] = f"zz{k}"
+            rows.append((len(rows), f"{prose(6000 + len(rows), 9)} {' '.join(words)} {prose(7000 + len(rows), 9)}", "a"))
+    want = {(i, k, n) for i, t, _ in rows for k, item in items if (n := brute_overlaps(t, item)) > 0}
+    found = decontamination.overlaps(make_docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.equal_words) for r in found} == want and len(want) >= len(rows)
+
+
 def brute_lines(rows):
     """(doc, line number, line) of all lines with a word, and the root of each line's component."""
     lines = [(i, k, line.strip(" \t\r\x0b\x0c")) for i, t, _ in rows for k, line in enumerate((t or "").split("\n"))]
