@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_rules, sharding, simhash_dedup, sql, suffix_dedup, token_counts, url_reputation, window_dedup
+from . import decontamination, line_dedup, merkle_manifest, mixing, quality_rules, sharding, simhash_dedup, sql, suffix_dedup, token_counts, url_reputation, window_dedup
 from .frames import table
 
 #: Where the vocabulary files of public tokenizers lie, on the driver and on every executor.
@@ -57,6 +57,18 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, folder, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents whose number's CRC is a multiple of 7 are claimed to be one character longer; their proofs fail."""
+    docs = table(spark, folder, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    longer = F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    claimed = merkle_manifest.leaf_hash([longer if f == "n_chars" else F.col(f) for f in merkle_manifest.FIELDS])
+    proofs = merkle_manifest.manifest(docs, carry={"claimed": claimed})
+    folded = merkle_manifest.fold(F.col("claimed"), F.col("path"), F.col("place"))
+    out = proofs.select("doc_id", "leaf", "subroot", "root", merkle_manifest.path_hash(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,7 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_window_dedup,
         op10_suffix_dedup,
+        op11_merkle_manifest,
     )
 }
 
-SQL: dict[str, str] = {"op1_url_reputation": sql.OP1, "op2_quality_rules": sql.OP2, "op6_mixing": sql.OP6, "op8_sharding": sql.OP8}
+SQL: dict[str, str] = {"op1_url_reputation": sql.OP1, "op2_quality_rules": sql.OP2, "op6_mixing": sql.OP6, "op8_sharding": sql.OP8, "op11_merkle_manifest": sql.OP11}

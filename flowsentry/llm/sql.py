@@ -188,3 +188,59 @@ WITH texts AS (
 )
 SELECT *, NOT base_failed AND covered_words <= 0.45 * n_words AND longest_repeat <= 400 AS kept FROM failed
 """
+
+
+def _leaf(n_chars: str) -> str:
+    """The leaf of a document with this n_chars."""
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR), '-')" for f in fields) + ")"
+
+
+#: DuckDB's crc32 is an extension's, so the table of remainders is built here: one byte at a time, eight shifts each.
+OP11 = f"""
+WITH RECURSIVE shifts(b, k, v) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END FROM shifts WHERE k < 8
+), crc_table AS (SELECT b, v FROM shifts WHERE k = 8),
+crc(doc_id, digits, v) AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR), CAST(4294967295 AS BIGINT) FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)
+  UNION ALL SELECT doc_id, digits[2:], xor(t.v, crc.v >> 8) FROM crc JOIN crc_table t ON t.b = xor(crc.v & 255, ascii(digits)) WHERE digits <> ''
+), tampered AS (SELECT doc_id FROM crc WHERE digits = '' AND xor(v, 4294967295) % 7 = 0),
+leaves AS (
+  SELECT coalesce('=' || lang, '') AS tree, doc_id, {_leaf("n_chars")} AS leaf,
+    {_leaf("CASE WHEN doc_id IN (FROM tampered) THEN n_chars + 1 ELSE n_chars END")} AS claimed
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+), lower_levels(tree, level, pos, node, size) AS (
+  SELECT tree, 0, pos, leaf, count(*) OVER (PARTITION BY tree) FROM placed
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((size + 1) // 2)
+  FROM lower_levels WHERE size > 1 GROUP BY tree, level, pos // 2
+), subroots AS (SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS pos FROM lower_levels WHERE size = 1),
+upper_levels(level, pos, node, size) AS (
+  SELECT 0, pos, node, count(*) OVER () FROM subroots
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value((size + 1) // 2)
+  FROM upper_levels WHERE size > 1 GROUP BY level, pos // 2
+), root AS (SELECT node FROM upper_levels WHERE size = 1),
+climb(tree, pos, level, own, proof, folded) AS (
+  SELECT tree, pos, 0, pos, '', claimed FROM placed
+  UNION ALL
+  SELECT c.tree, c.pos, c.level + 1, c.own // 2, c.proof || coalesce(s.node, ''),
+    sha256(CASE WHEN c.own % 2 = 1 THEN s.node || c.folded ELSE c.folded || coalesce(s.node, '') END)
+  FROM climb c JOIN lower_levels o ON o.tree = c.tree AND o.level = c.level AND o.pos = c.own AND o.size > 1
+  LEFT JOIN lower_levels s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.own, 1)
+), halfway AS (
+  SELECT c.tree, c.pos, c.proof, c.folded, s.pos AS own, s.node AS subroot FROM climb c
+  JOIN lower_levels o ON o.tree = c.tree AND o.level = c.level AND o.pos = c.own AND o.size = 1 JOIN subroots s ON s.tree = c.tree
+), rest(tree, pos, subroot, level, own, proof, folded) AS (
+  SELECT tree, pos, subroot, 0, own, proof, folded FROM halfway
+  UNION ALL
+  SELECT c.tree, c.pos, c.subroot, c.level + 1, c.own // 2, c.proof || coalesce(s.node, ''),
+    sha256(CASE WHEN c.own % 2 = 1 THEN s.node || c.folded ELSE c.folded || coalesce(s.node, '') END)
+  FROM rest c JOIN upper_levels o ON o.level = c.level AND o.pos = c.own AND o.size > 1
+  LEFT JOIN upper_levels s ON s.level = c.level AND s.pos = xor(c.own, 1)
+)
+SELECT p.doc_id, p.leaf, subroot, root.node AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.node AS verified
+FROM rest JOIN upper_levels o ON o.level = rest.level AND o.pos = rest.own AND o.size = 1
+JOIN placed p ON p.tree = rest.tree AND p.pos = rest.pos, root"""
