@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, merkle_manifest, mixing, quality_rules, sharding, simhash_dedup, sql, suffix_dedup, token_counts, url_reputation, window_dedup
+from . import decontamination, line_dedup, merkle_manifest, mixing, quality_rules, sharding, simhash_dedup, sql, suffix_dedup, token_alignment, token_counts, url_reputation, window_dedup
 from .frames import table
 
 #: Where the vocabulary files of public tokenizers lie, on the driver and on every executor.
@@ -69,6 +69,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return token_alignment.align(table(spark, folder, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_window_dedup,
         op10_suffix_dedup,
         op11_merkle_manifest,
+        op12_token_alignment,
     )
 }
 
