@@ -1,14 +1,15 @@
 """Alignment of two tokenizers' tokens over whole texts, and corpus counts of aligned id pairs.
 
-Both tokenizers read a space and the text. In each piece of text the ends of their tokens, counted in
-bytes, become two dictionaries from end to index. The keys both have, in order, slice the two id lists
-into groups of tokens that cover the same bytes; every pair of ids in a group is a link.
+Both tokenizers read a space and the text. The ends of their tokens, counted in bytes, become two
+dictionaries from end to index (direct tables, as ends are small whole numbers). The keys both have, in
+order, slice the two id lists into groups of tokens that cover the same bytes; every pair of ids in a
+group is a link.
 
 A text is encoded by pieces that begin with a space after a character that is not white space. There
 the byte-level pattern of the first tokenizer always splits, and no piece of the second has its space
 mark after another character (checked when it is loaded), so no token of either crosses such a place:
 pieces give the whole text's tokens, and each place is an end of both. Equal pieces of a slice of texts
-are encoded and aligned once, and a document adds up its pieces with numpy.
+are encoded and aligned once, many joined in one call, and a document adds up its pieces with numpy.
 
 A document's distinct links leave the task as (id pair, times). Pair counts are combined on the map
 side. The look-up of counts broadcasts the pair table only if it was counted as small; otherwise the
@@ -24,9 +25,8 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +38,9 @@ from . import words as W
 from .frames import written
 from .token_counts import safe_cuts
 
-#: Bytes of texts whose equal pieces are found together, and pieces encoded in one call.
-SLICE, BATCH = 16 << 20, 4096
+#: Bytes of texts whose equal pieces are found together, of those whose links are added up at once, and of
+#: joined pieces encoded as one text.
+SLICE, PART, JOINED = 16 << 20, 2 << 20, 8 << 10
 #: Links of a group from which on its repeated ids are counted first.
 WIDE = 4096
 #: Rows of a pair table that may be broadcast; also the largest number of hot pairs.
@@ -62,6 +63,10 @@ class Encoders:
         self.a_bytes, self.b_bytes = self._byte_level_bytes(), self._piece_bytes()
         # A last piece that is a space alone: an empty text gets no space added.
         self.b_space = self.b.encode("x ")[len(self.b.encode("x")) :]
+        self.a_size, self.b_size = (np.array([len(t) for t in side], np.int64) for side in (self.a_bytes, self.b_bytes))
+        self.decimals = pa.array([f"{i}{c}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for c in ",|;"], pa.large_string())
+        self.a_of_byte = {t[0]: i for i, t in enumerate(self.a_bytes) if len(t) == 1}
+        self.b_of_byte = {t[0]: i for i, t in enumerate(self.b_bytes) if len(t) == 1}
 
     def _byte_level_bytes(self) -> list[bytes]:
         # Visible characters stand for their own byte, the other bytes for the characters from 256 on.
@@ -80,101 +85,181 @@ class Encoders:
             out.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_MARK, " ").encode())
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """Each text (with a leading space) with its ids by both tokenizers; the second adds the space itself."""
-        for k in range(0, len(texts), BATCH):
-            some = texts[k : k + BATCH]
-            a = self.a.encode_batch_fast(some, add_special_tokens=False)
-            b = self.b.encode([t[1:] for t in some], num_threads=1)
-            for text, left, right in zip(some, a, b):
-                yield text, left.ids, right if len(text) > 1 else self.b_space
-
-
-def groups_of(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> list[tuple[list[int], list[int]]]:
-    """The two id lists sliced where tokens of both end."""
-    a_at = {end: k for k, end in enumerate(accumulate(len(a_bytes[i]) for i in a), 1)}
-    b_at = {end: k for k, end in enumerate(accumulate(len(b_bytes[i]) for i in b), 1)}
-    out, i, j = [], 0, 0
-    for end in sorted(a_at.keys() & b_at.keys()):
-        out.append((a[i : a_at[end]], b[j : b_at[end]]))
-        i, j = a_at[end], b_at[end]
-    return out
-
-
-def _links(groups: list[tuple[list[int], list[int]]], width: int) -> tuple[list[int], list[int]]:
-    """Pairs (a * width + b) of all groups, and how often each occurs; a pair may come more than once."""
-    pairs, times = [], []
-    for a, b in groups:
-        if len(a) * len(b) < WIDE:
-            pairs.extend(x * width + y for x in a for y in b)
-            times.extend([1] * (len(a) * len(b)))
-        else:
-            right = Counter(b).items()
-            for x, n in Counter(a).items():
-                pairs.extend(x * width + y for y, _ in right)
-                times.extend(n * m for _, m in right)
-    return pairs, times
-
-
-def _group_text(groups: list[tuple[list[int], list[int]]]) -> str:
-    return ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each text (with a leading space) by both tokenizers; the second adds the space itself."""
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        b = self.b.encode([t[1:] for t in texts], num_threads=1)
+        return a, [ids if len(text) > 1 else self.b_space for text, ids in zip(texts, b)]
+
+    def bytes_of(self, text: bytes) -> tuple[list[int], list[int]]:
+        """A stand-in for the ids of a text that is not spelled: one id a byte."""
+        return [self.a_of_byte[c] for c in text], [self.b_of_byte[c] for c in text]
+
+    def spelled(self, text: bytes, a: list[int], b: list[int]) -> bool:
+        """Do the tokens of both sides spell the text?"""
+        return b"".join([self.a_bytes[i] for i in a]) == text and b"".join([self.b_bytes[i] for i in b]) == text
+
+
+@dataclass
+class Groups:
+    """Groups of tokens that cover the same bytes, of many pieces one after another.
+
+    a and b: all ids; a_at and b_at: for each group its first id, with the total at the end; end: where it ends in the bytes.
+    """
+
+    a: np.ndarray
+    b: np.ndarray
+    a_at: np.ndarray
+    b_at: np.ndarray
+    end: np.ndarray
+
+    @staticmethod
+    def find(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, n_bytes: int) -> Groups:
+        """The ends of tokens are keys of two dictionaries (direct tables over the bytes) that give the tokens' indices;
+        the keys both have, in order, slice both id lists."""
+        tables = []
+        for ids, size in ((a, a_size), (b, b_size)):
+            table = np.full(n_bytes + 1, -1, np.int64)
+            table[np.cumsum(size[ids])] = np.arange(1, len(ids) + 1)
+            tables.append(table)
+        end = np.flatnonzero((tables[0] > 0) & (tables[1] > 0))
+        first = np.zeros(1, np.int64)
+        return Groups(a, b, np.append(first, tables[0][end]), np.append(first, tables[1][end]), end)
+
+    def links(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (a * width + b), how often each occurs, and its group, in order of groups."""
+        n_a, n_b = np.diff(self.a_at), np.diff(self.b_at)
+        wide = np.flatnonzero(n_a * n_b >= WIDE)
+        size = n_a * n_b
+        size[wide] = 0
+        group = np.repeat(np.arange(len(size)), size)
+        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        left, right = self.a_at[group] + k // n_b[group], self.b_at[group] + k % n_b[group]
+        pairs, times = [self.a[left] * width + self.b[right]], [np.ones(len(group), np.int64)]
+        groups = [group]
+        for g in wide:
+            a, often_a = np.unique(self.a[self.a_at[g] : self.a_at[g + 1]], return_counts=True)
+            b, often_b = np.unique(self.b[self.b_at[g] : self.b_at[g + 1]], return_counts=True)
+            pairs.append((a[:, None] * width + b).ravel())
+            times.append((often_a[:, None] * often_b).ravel())
+            groups.append(np.full(len(a) * len(b), g))
+        if len(wide):
+            order = np.argsort(np.concatenate(groups), kind="stable")
+            return tuple(np.concatenate(x)[order] for x in (pairs, times, groups))
+        return pairs[0], times[0], groups[0]
+
+    def text(self, decimals: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The groups as `a1,a2|b1;` and so on, in one array of bytes, and where each group ends in it.
+
+        decimals: for id i, the texts of i with a comma, a bar and a semicolon at 3 i and after.
+        """
+        n_a, n_b = np.diff(self.a_at), np.diff(self.b_at)
+        ends = np.cumsum(n_a + n_b)
+        which = np.empty(ends[-1] if len(ends) else 0, np.int64)
+        place_a = np.arange(len(self.a)) + np.repeat(self.b_at[:-1], n_a)
+        place_b = np.arange(len(self.b)) + np.repeat(self.a_at[1:], n_b)
+        which[place_a], which[place_b] = self.a * 3, self.b * 3
+        which[self.a_at[1:] + self.b_at[:-1] - 1] += 1
+        which[ends - 1] += 2
+        joined = decimals.take(pa.array(which))
+        raw, offsets = W.text_bytes(joined)
+        return raw, offsets[ends]
 
 
 class _Pieces:
-    """Distinct pieces of a slice, encoded and aligned, as arrays."""
-
-    def __init__(self, texts: list[str], encoders: Encoders):
-        a_bytes, b_bytes, width = encoders.a_bytes, encoders.b_bytes, len(encoders.b_bytes)
-        rows, self.text, pairs, times, size = [], [], [], [], []
-        for text, a, b in encoders.encode(texts):
-            raw = text.encode()
-            whole = b"".join([a_bytes[i] for i in a]) == raw and b"".join([b_bytes[i] for i in b]) == raw
-            groups = groups_of(a, b, a_bytes, b_bytes) if whole else []
-            new, often = _links(groups, width)
-            pairs.extend(new)
-            times.extend(often)
-            size.append(len(new))
-            rows.append((len(a), len(b), len(groups), sum(often), not whole))
-            self.text.append(_group_text(groups))
-        self.counts = np.array(rows, np.int64).reshape(-1, 5)
-        self.pairs, self.times, self.size = np.array(pairs, np.int64), np.array(times, np.int64), np.array(size, np.int64)
-
-
-def _documents(data: np.ndarray, offsets: np.ndarray, encoders: Encoders) -> tuple[np.ndarray, list[str], pa.Array, pa.Array]:
-    """For each text: its four counts, the hash of its groups, its distinct pairs and their times."""
-    n = len(offsets) - 1
+    """Distinct pieces, encoded and aligned: counts, links and the text of the groups of each."""
+
+    def __init__(self, pieces: pa.Array, encoders: Encoders):
+        data, offsets = W.text_bytes(pieces)
+        n, raw = len(pieces), data.tobytes()
+        # A piece can be followed by another one in one text if it ends in a character that is surely no white space.
+        last = np.zeros(n, np.int64)
+        full = offsets[1:] > offsets[:-1]
+        last[full] = data[offsets[1:][full] - 1]
+        open_end = (last > 0x20) & (last < 0x7F)
+        starts, size = [0] if n else [], 0
+        for k in range(1, n):
+            size += offsets[k] - offsets[k - 1]
+            if size >= JOINED or not open_end[k - 1]:
+                starts.append(k)
+                size = 0
+        spelled = np.ones(n, bool)
+        a, b = self._encoded(raw, offsets, np.array([*starts, n]), spelled, encoders)
+        groups = Groups.find(a, b, encoders.a_size, encoders.b_size, int(offsets[-1]) if n else 0)
+        piece = np.searchsorted(offsets, groups.end, side="left") - 1
+        count = lambda w: np.bincount(piece, w, minlength=n).astype(np.int64)
+        pairs, times, group = groups.links(len(encoders.b_bytes))
+        link_piece = piece[group]
+        n_links = np.bincount(link_piece, times, minlength=n).astype(np.int64)
+        self.counts = np.stack([count(np.diff(groups.a_at)), count(np.diff(groups.b_at)), count(None), n_links, (~spelled).astype(np.int64)], axis=1)
+        self.pairs, self.times, self.size = pairs, times, np.bincount(link_piece, minlength=n)
+        text, ends = groups.text(encoders.decimals)
+        bounds = np.append(0, ends)[np.searchsorted(piece, np.arange(n + 1))].tolist()
+        whole = text.tobytes()
+        self.text = [whole[i:j] for i, j in zip(bounds, bounds[1:])]
+
+    @staticmethod
+    def _encoded(raw: bytes, offsets: np.ndarray, starts: np.ndarray, spelled: np.ndarray, encoders: Encoders) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces by both tokenizers. A piece that is not spelled is marked and has ids of its bytes."""
+        out_a, out_b = [], []
+        bounds = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+        for k in range(0, len(bounds), 64):
+            some = bounds[k : k + 64]
+            texts = [raw[offsets[i] : offsets[j]] for i, j in some]
+            for (i, j), text, a, b in zip(some, texts, *encoders.encode([t.decode() for t in texts])):
+                if encoders.spelled(text, a, b):
+                    out_a.append(np.array(a, np.int64))
+                    out_b.append(np.array(b, np.int64))
+                    continue
+                for p in range(i, j):  # one by one, to see which piece it is
+                    text = raw[offsets[p] : offsets[p + 1]]
+                    (a,), (b,) = encoders.encode([text.decode()])
+                    if not encoders.spelled(text, a, b):
+                        spelled[p] = False
+                        a, b = encoders.bytes_of(text)
+                    out_a.append(np.array(a, np.int64))
+                    out_b.append(np.array(b, np.int64))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(out_a or none), np.concatenate(out_b or none)
+
+
+def _documents(data: np.ndarray, offsets: np.ndarray, encoders: Encoders) -> Iterator[tuple[np.ndarray, list[str], pa.Array, pa.Array]]:
+    """For runs of texts: their four counts, the hashes of their groups, their distinct pairs and the times of these."""
     cuts = safe_cuts(data, offsets)
     cuts = cuts[(data[cuts] == 0x20) | np.isin(cuts, offsets[:-1])]
     at = pa.py_buffer(np.append(cuts, len(data)).astype(np.int64))
     pieces = pa.LargeStringArray.from_buffers(len(cuts), at, pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
-    own, row = pieces.indices.to_numpy(), np.searchsorted(offsets, cuts, side="right") - 1
-    found = _Pieces(pieces.dictionary.to_pylist(), encoders)
-
-    sums = np.zeros((n, 5), np.int64)
-    for k in range(5):
-        sums[:, k] = np.bincount(row, found.counts[own, k], minlength=n)
-    spelled = (sums[:, 4] == 0) & (np.diff(offsets) > 0)
-    counts = sums[:, :4] * spelled[:, None]
-    ends, texts, hashes = np.searchsorted(row, np.arange(n), side="right"), found.text, []
-    for r in range(n):
-        mine = own[ends[r - 1] if r else 0 : ends[r]].tolist() if spelled[r] else []
-        hashes.append(hashlib.sha256(";".join([texts[i] for i in mine]).encode()).hexdigest() if mine else "")
-
-    keep = spelled[row]
-    own, row = own[keep], row[keep]
-    size = found.size[own]
-    first = np.cumsum(found.size)[own] - size
-    place = np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
-    ids, number = np.unique(found.pairs, return_inverse=True)
-    key = np.repeat(row, size) * max(1, len(ids)) + number[place]
-    order = np.argsort(key, kind="stable")
-    key, times = key[order], found.times[place][order]
-    begin = np.flatnonzero(np.diff(key, prepend=-1))
-    times = np.add.reduceat(times, begin) if len(begin) else times
-    key = key[begin]
-    bounds = pa.array(np.searchsorted(key, np.arange(n + 1) * max(1, len(ids))), pa.int32())
-    pairs = ids[key % max(1, len(ids))]
-    return counts, hashes, pa.ListArray.from_arrays(bounds, pa.array(pairs)), pa.ListArray.from_arrays(bounds, pa.array(times))
+    found = _Pieces(pieces.dictionary, encoders)
+    every = pieces.indices.to_numpy()
+    first_link = np.cumsum(found.size) - found.size
+    for first, last in W.row_slices(offsets, PART):
+        bounds = offsets[first : last + 1]
+        here = slice(*np.searchsorted(cuts, [bounds[0], bounds[-1]]))
+        own, row, n = every[here], np.searchsorted(bounds, cuts[here], side="right") - 1, last - first
+        sums = np.stack([np.bincount(row, found.counts[own, k], minlength=n) for k in range(5)], axis=1).astype(np.int64)
+        spelled = (sums[:, 4] == 0) & (np.diff(bounds) > 0)
+        ends, hashes = np.searchsorted(row, np.arange(n), side="right").tolist(), []
+        for r in range(n):
+            if spelled[r]:
+                mine = own[ends[r - 1] if r else 0 : ends[r]].tolist()
+                text = b"".join([found.text[i] for i in mine])
+                hashes.append(hashlib.sha256(text[:-1]).hexdigest())  # without the last semicolon
+            else:
+                hashes.append("")
+        keep = spelled[row]
+        own, row = own[keep], row[keep]
+        size = found.size[own]
+        place = np.arange(size.sum()) + np.repeat(first_link[own] - (np.cumsum(size) - size), size)
+        ids, number = np.unique(found.pairs[place], return_inverse=True)
+        key = np.repeat(row, size) * max(1, len(ids)) + number
+        order = np.argsort(key)
+        key, times = key[order], found.times[place][order]
+        begin = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.add.reduceat(times, begin) if len(begin) else times
+        key = key[begin]
+        at = pa.array(np.searchsorted(key, np.arange(n + 1) * max(1, len(ids))), pa.int32())
+        pairs = ids[key % max(1, len(ids))]
+        yield sums[:, :4] * spelled[:, None], hashes, pa.ListArray.from_arrays(at, pa.array(pairs)), pa.ListArray.from_arrays(at, pa.array(times))
 
 
 def aligned(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,9 +278,10 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id
             data, offsets = W.text_bytes(pc.if_else(pc.equal(pc.fill_null(text, ""), ""), pa.scalar("", text.type), spaced))
             for first, last in W.row_slices(offsets, SLICE):
                 part = data[offsets[first] : offsets[last]]
-                counts, hashes, pairs, times = _documents(part, offsets[first : last + 1] - offsets[first], encoders)
-                columns = [batch.column(k).slice(first, last - first) for k in (0, 1)] + [pa.array(counts[:, k]) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes, pa.string()), pairs, times], names)
+                for counts, hashes, pairs, times in _documents(part, offsets[first : last + 1] - offsets[first], encoders):
+                    columns = [batch.column(k).slice(first, len(hashes)) for k in (0, 1)] + [pa.array(counts[:, k]) for k in range(4)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes, pa.string()), pairs, times], names)
+                    first += len(hashes)
 
     names = ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"]
     kind = docs.schema[id_col].dataType.simpleString()

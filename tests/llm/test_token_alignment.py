@@ -3,6 +3,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from flowsentry.llm import token_alignment as A
@@ -76,14 +77,12 @@ def test_equals_whole_texts(spark, make_docs, odd_rows, encoders, small):
     assert rows_of(A.align(make_docs(rows), *FILES, small=small)) == expected(encoders, rows)
 
 
-def test_long_groups_count_ids_first(encoders, monkeypatch):
+def test_long_groups_count_ids_first(monkeypatch):
     monkeypatch.setattr(A, "WIDE", 2)
-    groups = [([1, 2, 1], [3, 3]), ([4], [5])]
-    pairs, times = A._links(groups, 10)
-    got = Counter()
-    for p, t in zip(pairs, times):
-        got[p] += t
-    assert got == {13: 4, 23: 2, 45: 1}
+    size = np.array([0, 1, 2, 4, 2, 2])
+    groups = A.Groups.find(np.array([1, 1, 2, 4]), np.array([3, 4]), size, size, 6)
+    pairs, times, group = groups.links(10)
+    assert dict(zip(pairs.tolist(), times.tolist())) == {13: 2, 23: 1, 44: 1} and group.tolist() == [0, 0, 1]
 
 
 def test_empty_table(spark, make_docs):
