@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, merkle_manifest, mixing, quality_rules, sharding, simhash_dedup, sql, suffix_dedup, token_alignment, token_counts, url_reputation, window_dedup
+from . import decontamination, line_dedup, merkle_manifest, mixing, ngram_join, quality_rules, sharding, simhash_dedup, sql, suffix_dedup, token_alignment, token_counts, url_reputation, window_dedup
 from .frames import table
 
 #: Where the vocabulary files of public tokenizers lie, on the driver and on every executor.
@@ -73,6 +73,10 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return token_alignment.align(table(spark, folder, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
+def op13_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_dedup,
         op11_merkle_manifest,
         op12_token_alignment,
+        op13_ngram_join,
     )
 }
 
