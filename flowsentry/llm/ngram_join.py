@@ -1,9 +1,10 @@
 """Exact Jaccard self-join of documents' word n-gram sets by filtering under several global token orders.
 
 Two sets whose similarity reaches the threshold share a token among the first few of each (the prefix) in
-any order of all tokens. Here they must do so under every one of several orders. All orders put frequent
-tokens last, by classes of their document frequency, and differ inside a class; so boilerplate that many
-documents share seldom is in a prefix.
+any order of all tokens. Here they must do so under every one of several orders. As prefixes are short, all
+orders begin with a fixed quarter of all tokens, so only of these the document frequency is counted; those
+of them that are frequent come last, by classes of their frequency. Orders differ inside a class. So
+boilerplate that many documents share seldom is in a prefix.
 
 Sets that are equal form a class and only classes are joined. Links are wanted for reachability, so pairs
 already known to be connected need no verification:
@@ -41,8 +42,8 @@ from .frames import forget, written
 
 #: Bytes of text worked on at once.
 SLICE = 8 << 20
-#: Token orders.
-ORDERS = 2
+#: Token orders, and the tokens (unsigned) below which lies the quarter that comes first in all of them.
+ORDERS, QUARTER = 2, np.uint64(1 << 62)
 #: Documents from which on a token can count as frequent, and frequent tokens held by each task at most.
 FREQUENT, TABLE = 16, 1 << 20
 #: Members of a bucket whose pairs are formed at once, and more leaders tried in larger ones.
@@ -68,7 +69,7 @@ def prefix_length(size: int, percent: int) -> int:
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Cells (the low 32 bits of tokens) of the most frequent tokens and the bit lengths of their document counts.
 
-    All tokens of all documents are counted; only the order of tokens depends on the result.
+    Counted over all documents; only the order of tokens depends on the result.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +77,8 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             held, some = 0, []
             for tokens in [*token_sets(batch.column(0), n), None]:
                 if tokens is not None:
-                    some.append(tokens.astype(np.uint32))
-                    held += len(tokens)
+                    some.append(tokens[: np.searchsorted(tokens, QUARTER)].astype(np.uint32))
+                    held += len(some[-1])
                 if held > 1 << 22 or tokens is None:
                     cells, counts = np.unique(np.concatenate([*some, np.zeros(0, np.uint32)]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int32)), pa.array(counts, pa.int64())], ["cell", "n"])
@@ -99,17 +100,27 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _orders(tokens: np.ndarray, cells: np.ndarray, sizes: np.ndarray, orders: int, length: int) -> list[np.ndarray]:
-    """The first `length` tokens under each order."""
-    rank = np.zeros(len(tokens), np.uint64)
+    """The first `length` of tokens (ascending) under each order."""
+    near = tokens[: np.searchsorted(tokens, QUARTER)]
+    rank = np.zeros(len(near), np.uint64)
     if len(cells):
-        low = tokens.astype(np.uint32)
+        low = near.astype(np.uint32)
         at = np.minimum(np.searchsorted(cells, low), len(cells) - 1)
         rank = np.where(cells[at] == low, sizes[at], 0).astype(np.uint64)
+    rare = rank == 0
+    if rare.sum() >= length:  # what follows in the order cannot be in the prefix
+        near, rank = near[rare], None
+    else:
+        rank = np.concatenate([rank + ~rare, np.ones(len(tokens) - len(near), np.uint64)])
+        near = tokens
     out = []
     for m in range(orders):
-        mixed = W.mix(tokens ^ np.uint64((0x9E3779B97F4A7C15 * (m + 1)) & 0xFFFFFFFFFFFFFFFF))
-        key = (rank << np.uint64(58)) | (mixed >> np.uint64(6))
-        out.append(tokens[np.argsort(key, kind="stable")[:length]])
+        key = W.mix(near ^ np.uint64((0x9E3779B97F4A7C15 * (m + 1)) & 0xFFFFFFFFFFFFFFFF))
+        if rank is not None:
+            key = (rank << np.uint64(58)) | (key >> np.uint64(6))
+        else:
+            key = key >> np.uint64(6)
+        out.append(near[np.argsort(key, kind="stable")[:length]])
     return out
 
 
@@ -230,14 +241,15 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, orders: in
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     found = written(_prefixes(docs, n, percent, orders), "ngram-prefixes")
     classes = written(found.where("n > 0").groupBy("digest").agg(F.min("row").alias("cls"), F.min("id").alias("least")), "ngram-classes")
-
-    own = found.join(classes.select(F.col("cls").alias("row")), "row", "left_semi")
-    by_order = own.select(F.col("row").alias("cls"), "n", F.posexplode("prefixes").alias("m", "prefix"))
-    keys = by_order.select("m", F.explode("prefix").alias("token"), "cls", "n")
-    shared = keys.groupBy("m", "token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("m", "token")
-    members = written(keys.join(shared, ["m", "token"]), "ngram-shared")
-    alive = members.groupBy("cls").agg(F.count_distinct("m").alias("k")).where(F.col("k") == orders).select("cls")
-    alive = written(alive, "ngram-alive")
+    own = found.join(classes.select(F.col("cls").alias("row")), "row", "left_semi").select(F.col("row").alias("cls"), "n", "prefixes")
+    own, members = written(own, "ngram-own"), None
+    for m in range(orders):  # what meets no other class under one order need not be looked at under the next
+        keys = own.select(F.lit(m).alias("m"), F.explode(F.col("prefixes")[m]).alias("token"), "cls", "n")
+        shared = keys.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("token")
+        met = written(keys.join(shared, "token").select("m", "token", "cls", "n"), "ngram-shared")
+        members = met if members is None else members.unionByName(met)
+        own = own.join(met.select("cls").distinct(), "cls", "left_semi")
+    alive = written(met.select("cls").distinct(), "ngram-alive")
     members = members.join(alive, "cls", "left_semi")
     sets = _token_arrays(docs, classes.join(alive, "cls").select("digest", "cls"), n)
 

@@ -40,7 +40,7 @@ from .token_counts import safe_cuts
 
 #: Bytes of texts whose equal pieces are found together, of those whose links are added up at once, and of
 #: joined pieces encoded as one text.
-SLICE, PART, JOINED = 16 << 20, 2 << 20, 8 << 10
+SLICE, PART, JOINED = 6 << 20, 1 << 20, 8 << 10
 #: Links of a group from which on its repeated ids are counted first.
 WIDE = 4096
 #: Rows of a pair table that may be broadcast; also the largest number of hot pairs.
@@ -262,6 +262,13 @@ def _documents(data: np.ndarray, offsets: np.ndarray, encoders: Encoders) -> Ite
         yield sums[:, :4] * spelled[:, None], hashes, pa.ListArray.from_arrays(at, pa.array(pairs)), pa.ListArray.from_arrays(at, pa.array(times))
 
 
+def _spaced(texts: pa.Array) -> pa.Array:
+    """Each text after a space; an empty one stays empty."""
+    texts = pc.fill_null(texts, "")
+    empty = pa.scalar("", texts.type)
+    return pc.if_else(pc.equal(texts, empty), empty, pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, empty))
+
+
 def aligned(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: row (a number of its own), id, n_a, n_b, n_groups, n_links, groups_sha256, its distinct
     id pairs (first id times the size of the second vocabulary, plus second id) and how often each is linked.
@@ -273,12 +280,10 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoders = Encoders(file_of(byte_level), file_of(pieces))
         for batch in batches:
-            text = batch.column(2)
-            spaced = pc.binary_join_element_wise(pa.scalar(" ", text.type), text, pa.scalar("", text.type))
-            data, offsets = W.text_bytes(pc.if_else(pc.equal(pc.fill_null(text, ""), ""), pa.scalar("", text.type), spaced))
+            _, offsets = W.text_bytes(batch.column(2))
             for first, last in W.row_slices(offsets, SLICE):
-                part = data[offsets[first] : offsets[last]]
-                for counts, hashes, pairs, times in _documents(part, offsets[first : last + 1] - offsets[first], encoders):
+                data, at = W.text_bytes(_spaced(batch.column(2).slice(first, last - first)))
+                for counts, hashes, pairs, times in _documents(data, at, encoders):
                     columns = [batch.column(k).slice(first, len(hashes)) for k in (0, 1)] + [pa.array(counts[:, k]) for k in range(4)]
                     yield pa.RecordBatch.from_arrays([*columns, pa.array(hashes, pa.string()), pairs, times], names)
                     first += len(hashes)
