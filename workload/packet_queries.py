@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from flowsentry.config import LiveRules
 from flowsentry.functions.uploads import capture_name, first_score, row_prediction
 from flowsentry.operators import evidence, packets
+from flowsentry.streaming.pipeline import drain
+from flowsentry.streaming.windows import stream_verdicts
 from workload import views
 from workload.registry import query
 
@@ -21,6 +23,17 @@ LIVE = LiveRules(
 )
 
 
+#: For the captures of views.capture_packets: both rules fire on some of their days.
+CAPTURE_RULES = LiveRules(
+    sustained_min_packets=2,
+    sustained_min_duration_sec=1.0,
+    high_rate_packets_per_sec=0.0002,
+    high_rate_bytes_per_sec=0.015,
+    portscan_min_dst_ports=6,
+    portscan_min_syn_count=5,
+)
+
+
 def live_flows(spark, sf):
     fields = packets.packet_fields(views.packets(spark, sf), keep=["capture"])
     return packets.packets_to_flows(fields, by=["capture"])
@@ -254,12 +267,39 @@ def attach_artifact_evidence(spark, sf):
     )
 
 
+def capture_verdicts(spark, sf):
+    """Verdicts of the closed days of the captures without a flow file, from the packet stream."""
+    stream = stream_verdicts(views.capture_packets(spark, sf, stream=True), ["capture"], "1 day", "0 seconds", CAPTURE_RULES)
+    return drain(stream, "capture-verdicts")
+
+
+def live_by_capture(verdicts):
+    """A capture is an attack if one of its windows is; the first such window names the type."""
+    attack = F.when(F.col("prediction") == "attack", F.col("window_start"))
+    return verdicts.groupBy(F.col("capture").alias("capture_name")).agg(
+        F.max(F.struct((F.col("prediction") == "attack").alias("hit"), "prediction")).getField("prediction").alias("live_prediction"),
+        F.coalesce(F.min_by("attack_type", attack), F.lit("BENIGN")).alias("live_attack_type"),
+    )
+
+
+@query(
+    "stream_live_verdict",
+    f"""WITH {views.FLOWS}, {views.CAPTURE_VERDICTS} SELECT epoch_us(d) AS window_start, capture, number_of_flows, unique_dst_ports,
+    total_syn_count, high_rate_flow_count, prediction, attack_type, CASE prediction WHEN 'attack' THEN 'high' ELSE 'info' END AS severity
+    FROM cap_verdicts""",
+)
+def stream_live_verdict(spark, sf):
+    names = ["number_of_flows", "unique_dst_ports", "total_syn_count", "high_rate_flow_count", "prediction", "attack_type", "severity"]
+    return capture_verdicts(spark, sf).select(F.unix_micros("window_start").alias("window_start"), "capture", *names)
+
+
 @query(
     "evidence_fusion",
     f"""WITH {LABEL_SQL}, {ARTIFACT_SQL.removeprefix(views.FLOWS + ",")},
     {views.UPLOADS.removeprefix(views.EVENTS + ",")}, {CAPTURE_MAP_SQL},
-    live(capture_name, live_prediction, live_attack_type) AS (VALUES
-      ('bot.pcap', 'attack', 'HighRateFlow'), ('portscan.pcap', 'benign', 'BENIGN')),
+    {views.CAPTURE_VERDICTS},
+    live AS (SELECT capture AS capture_name, CASE WHEN bool_or(prediction = 'attack') THEN 'attack' ELSE 'benign' END AS live_prediction,
+      coalesce(arg_min(attack_type, d) FILTER (WHERE prediction = 'attack'), 'BENIGN') AS live_attack_type FROM cap_verdicts GROUP BY capture),
     j AS (SELECT r.arrival, l.live_prediction AS lp, l.live_attack_type AS lt,
       CASE WHEN r.capture_name <> 'webattack.pcap' THEN e.prediction END AS bp, e.most_common_attack_label AS bt,
       a.prediction AS ap, a.sample_score AS score
@@ -280,10 +320,7 @@ def attach_artifact_evidence(spark, sf):
 )
 def evidence_fusion(spark, sf):
     uploads = resolved_uploads(spark, sf)
-    live = spark.createDataFrame(
-        [("bot.pcap", "attack", "HighRateFlow"), ("portscan.pcap", "benign", "BENIGN")],
-        "capture_name string, live_prediction string, live_attack_type string",
-    )
+    live = live_by_capture(capture_verdicts(spark, sf))
     labels = evidence.label_evidence(views.raw_flows(spark, sf)).select(
         F.col("source_file").alias("flow_csv_path"),
         F.col("prediction").alias("label_prediction"),

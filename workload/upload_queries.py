@@ -46,6 +46,17 @@ gaps AS (SELECT * REPLACE (CASE WHEN arrival % 11 <> 0 THEN content_hash END AS
   CASE WHEN arrival % 13 <> 0 THEN batch_hash END AS batch_hash) FROM uploads)"""
 GAPS_CTE = DEDUP_SQL.format(uploads=views.UPLOADS.strip() + GAPS, table="gaps")
 
+# A source starts anew after more than two idle days of its own, and after a reset of its tenant (noon of each tenth day).
+SESSIONS = """,
+paced AS (SELECT *, upload_ts - lag(upload_ts) OVER (PARTITION BY tenant_id, source_id ORDER BY arrival) AS idle,
+  CAST(floor((epoch(upload_ts) - 43200) / 864000) AS BIGINT) AS resets FROM uploads),
+sessions AS (SELECT * REPLACE (source_id || '#' || session AS source_id), source_id AS own FROM (SELECT *,
+  sum(CASE WHEN idle > INTERVAL 2 DAY OR resets > before THEN 1 ELSE 0 END) OVER (PARTITION BY tenant_id, source_id ORDER BY arrival) AS session
+  FROM (SELECT *, lag(resets) OVER (PARTITION BY tenant_id, source_id ORDER BY arrival) AS before FROM paced)))"""
+SESSIONS_CTE = DEDUP_SQL.format(uploads=views.UPLOADS.strip() + SESSIONS, table="sessions").replace(
+    "FROM (SELECT DISTINCT tenant_id, source_id FROM uploads)", "FROM (SELECT DISTINCT tenant_id, source_id FROM sessions)"
+)
+
 DECIDED = """ SELECT arrival, tenant_id, source_id, decision, effective_start_offset,
   CASE WHEN decision IN ('forward', 'trim_overlap') THEN 1 ELSE 0 END AS should_forward, reason
   FROM walk WHERE i > 0"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsentry.functions.signature_text import capture_day
-from flowsentry.session import apply_settings, materialize
+from flowsentry.session import apply_settings, materialize, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Triggers in which a stream reads the events, at least, and rows of a trigger, at most.
+TRIGGERS, TRIGGER_ROWS = 4, 5_000_000
+_event_files: dict = {}
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a file stream."""
-    schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    """The events as a stream of files in order, one file a trigger."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    e = table(spark, sf_dir, "events")
+    if key not in _event_files:
+        path = scratch_path(spark, "event-files")
+        first, last, rows = e.agg(F.min("event_id"), F.max("event_id"), F.count("*")).first()
+        pieces = max(TRIGGERS, -(-rows // TRIGGER_ROWS))
+        step = max(1, -(-((last or 0) - (first or 0) + 1) // pieces))
+        for k in range(pieces):  # one after the other, as the reader takes files in the order of their times
+            low = (first or 0) + k * step
+            e.filter(F.col("event_id").between(low, low + step - 1)).coalesce(1).write.mode("append").parquet(path)
+        _event_files[key] = path
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(_event_files[key])
 
 
 def events(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
@@ -417,6 +432,54 @@ uploads AS (
 )
 
 
+def capture_packets(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
+    """Typed packets of two captures that have no flow file."""
+    f = raw_flows(spark, sf_dir, stream)
+    return f.filter((F.col("k") % 6).isin(1, 2)).select(
+        F.when(F.col("k") % 6 == 1, F.lit("portscan.pcap")).otherwise(F.lit("bot.pcap")).alias("capture"),
+        F.col("timestamp").alias("time"),
+        F.lit("10.9.0.1").alias("src_ip"),
+        F.lit("10.9.0.2").alias("dst_ip"),
+        F.lit("0").alias("src_port"),
+        F.col("destination_port").cast("string").alias("dst_port"),
+        F.col("protocol").alias("protocol"),
+        F.unix_timestamp("timestamp").cast("double").alias("t"),
+        F.col("k").alias("length"),
+        (F.col("syn_flag_count") >= 3).alias("syn"),
+        F.lit(False).alias("ack"),
+    )
+
+
+# Verdicts of the closed days of these captures, under the limits of CAPTURE_RULES in packet_queries.
+CAPTURE_VERDICTS = """
+cap AS (
+  SELECT CASE k % 6 WHEN 1 THEN 'portscan.pcap' ELSE 'bot.pcap' END AS capture, date_trunc('day', "timestamp") AS d,
+    floor(epoch("timestamp")) AS s, *
+  FROM raw_flows WHERE k % 6 IN (1, 2)
+),
+cap_flows AS (
+  SELECT *, round(packet_count / dur, 6) AS pps, round(byte_count / dur, 6) AS bps
+  FROM (
+    SELECT d, capture, destination_port, protocol, count(*) AS packet_count, sum(k) AS byte_count,
+      count(*) FILTER (WHERE syn_flag_count >= 3) AS syn,
+      greatest(CAST(max(s) - min(s) AS DOUBLE), CAST(0.000001 AS DOUBLE)) AS dur
+    FROM cap GROUP BY ALL)
+),
+cap_evidence AS (
+  SELECT d, capture, count(*) AS number_of_flows, count(DISTINCT destination_port) AS unique_dst_ports,
+    CAST(sum(syn) AS BIGINT) AS total_syn_count,
+    count(*) FILTER (WHERE packet_count >= 2 AND round(dur, 6) >= 1 AND pps >= CAST(0.0002 AS DOUBLE)
+      AND bps >= CAST(0.015 AS DOUBLE)) AS high_rate_flow_count
+  FROM cap_flows GROUP BY ALL
+),
+cap_verdicts AS (
+  SELECT *, CASE WHEN scan THEN 'PortScanLike' WHEN high_rate_flow_count > 0 THEN 'HighRateFlow' ELSE 'BENIGN' END AS attack_type,
+    CASE WHEN scan OR high_rate_flow_count > 0 THEN 'attack' ELSE 'benign' END AS prediction
+  FROM (SELECT *, unique_dst_ports >= 6 AND total_syn_count >= 5 AS scan FROM cap_evidence)
+  WHERE d + INTERVAL 1 DAY <= (SELECT max("timestamp") FROM cap)
+)"""
+
+
 SPLITS = (
     FLOWS
     + """,
