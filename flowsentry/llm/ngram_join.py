@@ -9,11 +9,12 @@ boilerplate that many documents share seldom is in a prefix.
 Sets that are equal form a class and only classes are joined. Links are wanted for reachability, so pairs
 already known to be connected need no verification:
 
-1. the members of each bucket (a token in the prefix under the first order) are verified with its first one;
-2. where a bucket holds several components, the members of different components are paired under every
-   order, and pairs that meet under all orders are verified. Members of a bucket too large for that meet,
-   first, one more member of each such bucket outside its largest component (REPEATS times), and what is
-   then still apart is paired in full, but only those outside the largest component with the others.
+1. pairs that meet in buckets (a token in the prefix) of up to PAIRED classes are formed under every order
+   and kept if they meet under all of them; each class is verified with its least partner first, and other
+   pairs only if their components still differ;
+2. a larger bucket matters only to classes that are in large buckets under every order. There the members
+   are verified with the first one, then with the first one outside the largest component (REPEATS times),
+   and what is then still apart is paired in full: those outside the largest component with all others.
 
 No step caps a bucket: the steps before the last only spare pairs it would form. A family of many near
 copies costs about one pair a member where some member is similar to most others; a large family whose
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +47,26 @@ SLICE = 8 << 20
 #: Token orders, and the tokens (unsigned) below which lies the quarter that comes first in all of them.
 ORDERS, QUARTER = 2, np.uint64(1 << 62)
 #: Documents from which on a token can count as frequent, and frequent tokens held by each task at most.
-FREQUENT, TABLE = 16, 1 << 20
+FREQUENT, TABLE = 4, 1 << 20
 #: Members of a bucket whose pairs are formed at once, and more leaders tried in larger ones.
 PAIRED, REPEATS = 64, 2
 #: Rows of a table that may be broadcast.
 SMALL = 1 << 18
 
 
-def token_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """For each text its distinct n-gram hashes in ascending order."""
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    tokens = np.sort(tokens)
+    return tokens[np.concatenate([[True], tokens[1:] != tokens[:-1]])] if len(tokens) else tokens
+
+
+def token_sets(column: pa.Array, n: int, below: np.uint64 | None = None) -> Iterator[np.ndarray]:
+    """For each text its distinct n-gram hashes in ascending order (only those below a limit)."""
     for _, h, found in W.word_slices(column, SLICE, lower=True):
-        grams = {k: W.window_hashes(h, k) for k in range(1, n + 1)}
+        grams = W.window_hashes(h, n)
         for first, last in zip(found.row_start.tolist(), found.row_end.tolist()):
-            k = min(n, last - first)
-            yield np.unique(grams[k][first : last - k + 1]) if k else h[:0]
+            k = last - first
+            own = grams[first : last - n + 1] if k >= n else W.window_hashes(h[first:last], k) if k else h[:0]
+            yield _distinct(own if below is None else own[own < below])
 
 
 def prefix_length(size: int, percent: int) -> int:
@@ -67,7 +75,7 @@ def prefix_length(size: int, percent: int) -> int:
 
 
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells (the low 32 bits of tokens) of the most frequent tokens and the bit lengths of their document counts.
+    """The most frequent tokens of the first quarter, ascending, and the bit lengths of their document counts.
 
     Counted over all documents; only the order of tokens depends on the result.
     """
@@ -75,17 +83,17 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, some = 0, []
-            for tokens in [*token_sets(batch.column(0), n), None]:
+            for tokens in chain(token_sets(batch.column(0), n, QUARTER), [None]):
                 if tokens is not None:
-                    some.append(tokens[: np.searchsorted(tokens, QUARTER)].astype(np.uint32))
-                    held += len(some[-1])
-                if held > 1 << 22 or tokens is None:
-                    cells, counts = np.unique(np.concatenate([*some, np.zeros(0, np.uint32)]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.view(np.int32)), pa.array(counts, pa.int64())], ["cell", "n"])
+                    some.append(tokens)
+                    held += len(tokens)
+                if held > 1 << 21 or tokens is None:
+                    values, counts = np.unique(np.concatenate([*some, np.zeros(0, np.uint64)]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["token", "n"])
                     held, some = 0, []
 
-    counts = docs.mapInArrow(work, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    counts = written(counts.select("cell", F.length(F.bin("n")).alias("size")), "ngram-frequent")
+    counts = docs.mapInArrow(work, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    counts = written(counts.select("token", F.length(F.bin("n")).alias("size")), "ngram-frequent")
     sizes = {r["size"]: r["count"] for r in counts.groupBy("size").count().collect()}
     least, total = 64, 0
     for size in sorted(sizes, reverse=True):  # whole classes, the most frequent first
@@ -94,19 +102,18 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = size
     table = counts.where(F.col("size") >= least).toArrow()
-    cells = table["cell"].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint32)
-    order = np.argsort(cells)
-    return cells[order], table["size"].combine_chunks().to_numpy(zero_copy_only=False)[order].astype(np.uint8)
+    tokens = table["token"].combine_chunks().to_numpy(zero_copy_only=False).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], table["size"].combine_chunks().to_numpy(zero_copy_only=False)[order].astype(np.uint8)
 
 
-def _orders(tokens: np.ndarray, cells: np.ndarray, sizes: np.ndarray, orders: int, length: int) -> list[np.ndarray]:
+def _orders(tokens: np.ndarray, frequent: np.ndarray, sizes: np.ndarray, orders: int, length: int) -> list[np.ndarray]:
     """The first `length` of tokens (ascending) under each order."""
     near = tokens[: np.searchsorted(tokens, QUARTER)]
     rank = np.zeros(len(near), np.uint64)
-    if len(cells):
-        low = near.astype(np.uint32)
-        at = np.minimum(np.searchsorted(cells, low), len(cells) - 1)
-        rank = np.where(cells[at] == low, sizes[at], 0).astype(np.uint64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, near), len(frequent) - 1)
+        rank = np.where(frequent[at] == near, sizes[at], 0).astype(np.uint64)
     rare = rank == 0
     if rare.sum() >= length:  # what follows in the order cannot be in the prefix
         near, rank = near[rare], None
@@ -129,14 +136,14 @@ def _prefixes(docs: DataFrame, n: int, percent: int, orders: int) -> DataFrame:
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs.select("text"), n))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, sizes = frequent.value
+        often, sizes = frequent.value
         for batch in batches:
             counts, digests, values, ends = [], [], [], [[0]]
             for tokens in token_sets(batch.column(2), n):
                 counts.append(len(tokens))
                 digests.append(hashlib.blake2b(tokens.tobytes(), digest_size=16).digest())
                 length = prefix_length(len(tokens), percent)
-                values.extend(_orders(tokens, cells, sizes, orders, length))
+                values.extend(_orders(tokens, often, sizes, orders, length))
                 ends.append([length] * orders)
             inner = pa.array(np.cumsum(np.concatenate(ends)), pa.int32())
             flat = np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)
@@ -196,44 +203,60 @@ def _outside(members: DataFrame) -> DataFrame:
     return sizes.join(main, "token").where("comp <> main").groupBy("token").agg(F.first("main").alias("main"), F.min("lead").alias("lead"))
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int, orders: int) -> DataFrame:
-    """Links (a, b) between classes that give the components of all similar classes; members: (m, token, cls, n)."""
-    first = members.where("m = 0")
-    lead = first.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("l")).select("token", F.col("l.cls").alias("b"), F.col("l.n").alias("nb"))
-    stars = first.join(lead, "token").where("cls <> b").where(_similar_size("n", "nb", percent)).select(F.col("cls").alias("a"), "b").distinct()
-    links = _verified(stars, sets, percent)
-
-    grouped = _grouped(members, links)
-    apart = grouped.groupBy("m", "token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi")
-    apart = written(apart.select("m", "token", (F.col("k") > PAIRED).alias("large")), "ngram-buckets")
-    left = written(grouped.join(apart, ["m", "token"]), "ngram-apart")
-    hot = left.where("large").groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1, m)")).alias("hot"))
-    left = left.join(hot, "cls", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
-
-    small = left.where("not large").select("m", "token", "cls", "n", "comp", "hot")
-    other = small.select("m", "token", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "comp", "hot")))
-    met = small.join(other, ["m", "token"]).where("cls < cls_b and comp <> comp_b").where(_similar_size("n", "n_b", percent))
+def _candidates(members: DataFrame, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that meet under every order, once or more in a bucket of up to PAIRED classes; and the crowd (token,
+    cls, n): members of larger buckets of the first order that are in larger buckets under all orders.
+    """
     every = (1 << orders) - 1
-    seen = F.bit_or(F.expr("shiftleft(1, m)")).bitwiseOR(F.first(F.col("hot").bitwiseAND(F.col("hot_b"))))
-    pairs = met.groupBy(F.col("cls_b").alias("a"), F.col("cls").alias("b")).agg(seen.alias("seen")).where(F.col("seen") == every)
-    links = written(links.unionByName(_verified(pairs.select("a", "b"), sets, percent)), "ngram-links")
-
-    # What meets in large buckets only does so under every order.
-    crowd = written(left.where("large and m = 0").where(F.col("hot") == every).select("token", "cls", "n"), "ngram-crowd")
-    if crowd.isEmpty():
+    sizes = members.groupBy("m", "token").agg(F.count("*").alias("k")).select("m", "token", (F.col("k") > PAIRED).alias("large"))
+    sized = written(members.join(sizes, ["m", "token"]), "ngram-sized")
+    hot = sized.where("large").groupBy("cls").agg(F.bit_or(F.expr("shiftleft(1, m)")).alias("hot"))
+    crowd = sized.where("large and m = 0").join(hot.where(F.col("hot") == every), "cls", "left_semi").select("token", "cls", "n")
+    small = sized.where("not large").join(hot, "cls", "left").select("m", "token", "cls", "n", F.coalesce("hot", F.lit(0)).alias("hot"))
+    other = small.select("m", "token", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "hot")))
+    met = small.join(other, ["m", "token"]).where("cls < cls_b").where(_similar_size("n", "n_b", percent))
+    seen = F.bit_or(F.expr("shiftleft(1, m)")).bitwiseOR(F.max(F.col("hot").bitwiseAND(F.col("hot_b"))))
+    pairs = met.groupBy(F.col("cls_b").alias("a"), F.col("cls").alias("b")).agg(seen.alias("seen")).where(F.col("seen") == every).select("a", "b")
+    return written(pairs, "ngram-pairs"), written(crowd, "ngram-crowd")
+
+
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """The pairs whose components by the links differ."""
+    known = components(links)
+    for side in ("a", "b"):
+        own = known.select(F.col("node").alias(side), F.col("component").alias(f"comp_{side}"))
+        pairs = pairs.join(own, side, "left").withColumn(f"comp_{side}", F.coalesce(f"comp_{side}", side))
+    return pairs.where("comp_a <> comp_b").select("a", "b")
+
+
+def _links(pairs: DataFrame, crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between classes that give the components of all similar classes."""
+    nearest = pairs.groupBy("a").agg(F.min("b").alias("b"))
+    links = _verified(nearest, sets, percent)
+    crowded = not crowd.isEmpty()
+    if crowded:
+        lead = crowd.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("l")).select("token", F.col("l.cls").alias("b"), F.col("l.n").alias("nb"))
+        stars = crowd.join(lead, "token").where("cls <> b").where(_similar_size("n", "nb", percent)).select(F.col("cls").alias("a"), "b").distinct()
+        links = written(links.unionByName(_verified(stars, sets, percent)), "ngram-links")
+    others = pairs.join(nearest, ["a", "b"], "left_anti")
+    links = written(links.unionByName(_verified(_apart(others, links), sets, percent)), "ngram-links")
+    if not crowded:
         return links
     for _ in range(REPEATS):
         now = _grouped(crowd, links)
         lead = _outside(now).join(now.select("token", F.col("cls").alias("lead"), F.col("n").alias("nb"), F.col("comp").alias("own")), ["token", "lead"])
         stars = now.join(lead, "token").where("comp <> own").where(_similar_size("n", "nb", percent))
-        links = written(links.unionByName(_verified(stars.select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent)), "ngram-links")
+        found = _verified(stars.select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent)
+        if found.isEmpty():
+            break
+        links = written(links.unionByName(found), "ngram-links")
     now = _grouped(crowd, links)
     main = _outside(now).select("token", "main")
     out = now.join(main, "token").where("comp <> main").drop("main")
     rest = now.join(main.select("token"), "token", "left_semi").select("token", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "comp")))
     met = out.join(rest, "token").where("comp <> comp_b").where(_similar_size("n", "n_b", percent))
-    pairs = met.select(F.greatest("cls", "cls_b").alias("a"), F.least("cls", "cls_b").alias("b")).distinct()
-    return links.unionByName(_verified(pairs, sets, percent))
+    full = met.select(F.greatest("cls", "cls_b").alias("a"), F.least("cls", "cls_b").alias("b")).distinct()
+    return links.unionByName(_verified(full, sets, percent))
 
 
 def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -249,11 +272,11 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, orders: in
         met = written(keys.join(shared, "token").select("m", "token", "cls", "n"), "ngram-shared")
         members = met if members is None else members.unionByName(met)
         own = own.join(met.select("cls").distinct(), "cls", "left_semi")
-    alive = written(met.select("cls").distinct(), "ngram-alive")
-    members = members.join(alive, "cls", "left_semi")
-    sets = _token_arrays(docs, classes.join(alive, "cls").select("digest", "cls"), n)
+    pairs, crowd = _candidates(members.join(met.select("cls").distinct(), "cls", "left_semi"), percent, orders)
+    union = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(crowd.select("cls"))
+    sets = _token_arrays(docs, written(classes.join(union.distinct(), "cls").select("digest", "cls"), "ngram-wanted"), n)
 
-    joined = components(_links(written(members, "ngram-alive-members"), sets, percent, orders))
+    joined = components(_links(pairs, crowd, sets, percent))
     forget(sets)
     root = classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("digest", F.coalesce("component", "cls").alias("root"), "least")
     root = written(root, "ngram-roots")
