@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -111,3 +114,33 @@ def evidence_summary(evidence: Column) -> Column:
     """Evidence map as JSON with sorted keys and without empty values."""
     kept = F.map_filter(evidence, lambda _, v: v.isNotNull() & (v != ""))
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))
+
+
+def _sanitized(value):
+    if isinstance(value, dict):
+        return {k: _sanitized(v) for k, v in value.items() if v is not None and v != ""}
+    if isinstance(value, list):
+        return [_sanitized(v) for v in value if v is not None and v != ""]
+    return value
+
+
+def nested_evidence(evidence: Column) -> Column:
+    """Evidence given as JSON text of any depth: keys sorted, nulls and empty texts left out at every depth.
+
+    A value that is no object stays as it is; so does text that is not JSON. Null stays null.
+    """
+
+    @F.pandas_udf("string")
+    def summary(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                value = json.loads(text)
+            except (TypeError, ValueError, RecursionError):
+                return text
+            if not isinstance(value, dict):
+                return text
+            return json.dumps(_sanitized(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+        return texts.map(one, na_action="ignore")
+
+    return summary(evidence)

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from flowsentry.functions.columns import col, finite
 from flowsentry.functions.labels import UNKNOWN, with_labels
+from flowsentry.session import materialize
 
 
 def infinities_to_null(df: DataFrame) -> DataFrame:
@@ -33,11 +34,26 @@ def drop_all_null_columns(df: DataFrame) -> DataFrame:
     return df.drop(*all_null_columns(df))
 
 
+#: Cells of the filter for rows that may be repeated.
+CELLS = 1 << 20
+
+
 def drop_duplicate_rows(df: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """Keep the first (lowest id) of rows that agree on every other column; null equals null."""
+    """Keep the first (lowest id) of rows that agree on every other column; null equals null.
+
+    Hashes of rows are counted first, as narrow rows. A row in whose cell no hash repeats is kept as it is, without a
+    shuffle: the cells with a repeated hash are a broadcast of fixed size. Only the other rows are compared in full.
+    """
     others = [c for c in df.columns if c != id_col]
-    kept = df.groupBy(*[col(c) for c in others]).agg(F.min(id_col).alias(id_col))
-    return kept.select(*[col(c) for c in df.columns])
+    # Nulls are left out of a hash, so which columns are null is hashed as well.
+    hashed = F.xxhash64(*[col(c) for c in others], F.concat(*[F.when(col(c).isNull(), "1").otherwise("0") for c in others]))
+    repeated = df.select(hashed.alias("_h")).groupBy("_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > 1)
+    cells = F.broadcast(materialize(repeated.select(F.pmod("_h", F.lit(CELLS)).alias("_cell")).distinct(), "repeated-cells"))
+    marked = df.withColumn("_cell", F.pmod(hashed, F.lit(CELLS)))
+    single = marked.join(cells, "_cell", "left_anti").select(*[col(c) for c in df.columns])
+    again = marked.join(cells, "_cell", "left_semi")
+    kept = again.groupBy(*[col(c) for c in others]).agg(F.min(id_col).alias(id_col))
+    return single.unionByName(kept.select(*[col(c) for c in df.columns]))
 
 
 def clean_flows(

@@ -121,12 +121,12 @@ def f1_cut(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return table.groupBy(*by).agg(F.max_by("score", F.struct(f1, -F.col("score"))).alias("threshold"))
 
 
-def all_cuts(table: DataFrame, target_far: float = TARGET_FAR) -> DataFrame:
-    """The four validation thresholds of one score in one pass: one row, one column each."""
+def all_cuts(table: DataFrame, target_far: float = TARGET_FAR, by: Sequence[str] = ()) -> DataFrame:
+    """The four validation thresholds of each score in one pass: one row a group, one column each."""
     negatives = F.col("cum_n") - F.col("cum_pos")
     allowed = F.floor((F.col("total_n") - F.col("total_pos")) * F.lit(target_far))
     f1 = (2 * F.col("cum_pos")) / (F.col("cum_n") + F.col("total_pos"))
-    row = table.agg(
+    row = table.groupBy(*by).agg(
         _best(_accuracy_gain())[0].alias("acc"),
         _best(_balanced_gain())[0].alias("bal"),
         F.max("score").alias("max_score"),
@@ -146,7 +146,7 @@ def all_cuts(table: DataFrame, target_far: float = TARGET_FAR) -> DataFrame:
         .otherwise(just_above(F.col("above")))
     )
     return row.select(
-        cut("acc").alias("accuracy"), cut("bal").alias("balanced"), F.col("f1"), far.alias("far")
+        *by, cut("acc").alias("accuracy"), cut("bal").alias("balanced"), F.col("f1"), far.alias("far")
     )
 
 

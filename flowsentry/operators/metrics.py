@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from flowsentry.config import HEADLINE_FALLBACKS, TARGET_FAR
 from flowsentry.functions.labels import BENIGN, UNKNOWN, class_rank
 from flowsentry.operators.curves import all_cuts, areas, score_table
+from flowsentry.session import materialize
 
 RATES = ["accuracy", "precision", "recall", "f1", "far"]
 COUNTS = ["tp", "tn", "fp", "fn"]
@@ -123,16 +124,30 @@ def operating_points(
     test: DataFrame,
     score: str = "score",
     label: str = "binary_label",
+    extra: dict[str, float] | None = None,
+    **options,
+) -> DataFrame:
+    """Thresholds chosen on ``val``, reported on ``test``, for one score: see operating_table."""
+    parts = [
+        df.select(F.lit(method).alias("method"), F.lit(part).alias("part"), F.col(score).cast("double").alias("score"), F.col(label).alias("label"))
+        for part, df in (("val", val), ("test", test))
+    ]
+    rows = operating_table(parts[0].unionByName(parts[1]), **options)
+    return rows.select("*", *[F.lit(v).alias(k) for k, v in (extra or {}).items()])
+
+
+def operating_table(
+    scores: DataFrame,
     target_far: float = TARGET_FAR,
     include: Sequence[str] = ("accuracy", "balanced", "f1", "far"),
     test_optimistic: bool = False,
     suffix: str = "",
-    extra: dict[str, float] | None = None,
 ) -> DataFrame:
-    """Thresholds chosen on ``val``, reported on ``test``: one metric row per operating point.
+    """One metric row per method and operating point, for any number of methods in one pass.
 
-    The thresholds are at most six numbers; they go into one aggregation over the test rows as
-    literals.
+    ``scores``: method, part (val or test), score and label. All curves are one score table grouped by method and
+    part; thresholds come from the val curves and are joined, a few rows a method, with the test curves, whose
+    running totals give the counts. Rows are read once.
     """
     names = {
         "accuracy": f"val_accuracy_calibrated{suffix}",
@@ -140,44 +155,29 @@ def operating_points(
         "f1": "val_f1_calibrated",
         "far": f"val_far_calibrated_{target_far:.2e}",
     }
-    chosen = all_cuts(score_table(val, score, label), target_far).first()
-    points = [(names[k], "validation", chosen[k]) for k in include]
-    test_table = score_table(test, score, label)
+    by = ["method", "part"]
+    table = materialize(score_table(scores, "score", "label", by=by), "score-tables")
+    points = [("val", names[k], "validation", k) for k in include]
     if test_optimistic:
-        peek = all_cuts(test_table, target_far).first()
-        points += [
-            ("test_f1_optimal", "test", peek["f1"]),
-            (f"test_far_matched_{target_far:.2e}", "test", peek["far"]),
-        ]
-    y, s = F.col(label), F.col(score)
-    counts = test.agg(
-        *[
-            F.struct(*[c.alias(n) for n, c in confusion(y, s >= F.lit(t)).items()]).alias(f"p{i}")
-            for i, (_, _, t) in enumerate(points)
-        ]
-    )
+        points += [("test", "test_f1_optimal", "test", "f1"), ("test", f"test_far_matched_{target_far:.2e}", "test", "far")]
+    cuts = all_cuts(table, target_far, by=by)
     rows = F.array(
         *[
-            F.struct(
-                F.lit(op).alias("operating_point"),
-                F.lit(src).alias("threshold_source"),
-                F.lit(float(t)).alias("threshold"),
-                *[F.col(f"p{i}.{n}").alias(n) for n in COUNTS],
-            )
-            for i, (op, src, t) in enumerate(points)
+            F.struct(F.lit(part).alias("of"), F.lit(op).alias("operating_point"), F.lit(src).alias("threshold_source"), F.col(k).alias("threshold"))
+            for part, op, src, k in points
         ]
     )
-    return _with_areas(counts.select(F.inline(rows)), test_table).select(
-        F.lit(method).alias("method"),
-        "operating_point",
-        "threshold_source",
-        "threshold",
-        *rates(),
-        "roc_auc",
-        "pr_auc",
-        *COUNTS,
-        *[F.lit(v).alias(k) for k, v in (extra or {}).items()],
+    chosen = cuts.select("*", F.inline(rows)).filter(F.col("of") == F.col("part")).select("method", "operating_point", "threshold_source", "threshold")
+    test = table.filter("part = 'test'")
+    point = ["method", "operating_point", "threshold_source", "threshold"]
+    flagged = F.col("score") >= F.col("threshold")
+    hits = F.coalesce(F.sum(F.when(flagged, F.col("pos"))), F.lit(0))
+    alarms = F.coalesce(F.sum(F.when(flagged, F.col("n") - F.col("pos"))), F.lit(0))
+    attacks, all_rows = F.coalesce(F.max("total_pos"), F.lit(0)), F.coalesce(F.max("total_n"), F.lit(0))
+    counts = chosen.join(test, "method", "left").groupBy(*point).agg(
+        hits.alias("tp"), (all_rows - attacks - alarms).alias("tn"), alarms.alias("fp"), (attacks - hits).alias("fn")
     )
+    return counts.join(areas(test, by=["method"]), "method", "left").select(*point, *rates(), "roc_auc", "pr_auc", *COUNTS)
 
 
 def persist_points(df: DataFrame, thresholds: dict[str, float], score: str = "score") -> DataFrame:

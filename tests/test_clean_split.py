@@ -131,3 +131,31 @@ def test_calibration_split_is_a_partition_of_validation(spark):
         calibration_split(s, CascadeConfig(calibration_fraction=0.99))
     with pytest.raises(ValueError):
         calibration_split(s, CascadeConfig(min_calibration_benign=10_000))
+
+
+def test_duplicates_are_found_without_shuffling_single_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from flowsentry.operators import clean
+
+    rows = spark.range(300).select(
+        F.col("id").alias("row_id"), F.when(F.col("id") % 7 != 0, F.col("id") % 40).alias("a"), F.when(F.col("id") % 5 != 0, (F.col("id") % 3).cast("string")).alias("b")
+    )
+    want = {}
+    for r in rows.collect():
+        want.setdefault((r["a"], r["b"]), []).append(r["row_id"])
+    for cells in (clean.CELLS, 1):
+        monkeypatch.setattr(clean, "CELLS", cells)
+        got = {(r["a"], r["b"]): r["row_id"] for r in clean.drop_duplicate_rows(rows).collect()}
+        assert got == {k: min(v) for k, v in want.items()}
+
+
+def test_nested_evidence(spark):
+    from pyspark.sql import functions as F
+
+    from flowsentry.functions.uploads import nested_evidence
+
+    texts = ['{"b":null,"a":{"y":"","x":[1,null,"",{"q":null}]},"c":""}', "[1, null]", "broken", "", None, '"text"', '{"z":{"z":{"z":{"a":"","k":"\u00e9"}}}}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", nested_evidence(F.col("t")).alias("e"))
+    got = {r["i"]: r["e"] for r in df.collect()}
+    assert got == {0: '{"a":{"x":[1,{}]}}', 1: "[1, null]", 2: "broken", 3: "", 4: None, 5: '"text"', 6: '{"z":{"z":{"z":{"k":"\u00e9"}}}}'}

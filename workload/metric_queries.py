@@ -256,7 +256,10 @@ COMPARISON = (
 
 @query("comparison_table", f"WITH {HEADLINE_CTE} SELECT * FROM {COMPARISON}")
 def comparison_table(spark, sf):
-    return points(spark, sf, "value score", "score").unionByName(points(spark, sf, "tied score", "tied"))
+    s = views.scored(spark, sf).filter("split IN ('val', 'test')")
+    both = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("score")) for m, c in (("value score", "score"), ("tied score", "tied"))])
+    rows = metrics.operating_table(s.select(F.inline(both), F.col("split").alias("part"), F.col("binary_label").alias("label")))
+    return rows.withColumn("pr_auc", F.round("pr_auc", 9))
 
 
 @query(
@@ -316,6 +319,20 @@ def with_pvalues(spark, sf, smoothing=False):
     return conformal.conformal_pvalues(s, cal, "rf_score", smoothing=smoothing, out="rf_pvalue")
 
 
+@query("conformal_p_bounds", f"WITH {PVALUE} SELECT row_id, true AS between_bounds, count(*) OVER () AS rows FROM pv")
+def conformal_p_bounds(spark, sf):
+    """The smoothed p-value lies between the plain one and the plain one without the row's ties."""
+    plain, smooth = (with_pvalues(spark, sf, smoothing=s).select("row_id", F.col("rf_pvalue").alias(f"p{int(s)}"), "rf_score") for s in (False, True))
+    s = views.scored(spark, sf)
+    cal = s.filter("split = 'val' AND binary_label = 0")
+    ties = cal.groupBy(F.col("rf_score").alias("tied")).agg(F.count("*").alias("ties"))
+    n = cal.count()
+    both = plain.join(smooth.drop("rf_score"), "row_id").join(ties, F.col("rf_score") == F.col("tied"), "left")
+    low = F.col("p0") - F.coalesce("ties", F.lit(0)) / F.lit(n + 1.0)
+    between = (F.col("p1") <= F.col("p0") + 1e-12) & (F.col("p1") >= low - 1e-12)
+    return both.select("row_id", between.alias("between_bounds"), F.lit(plain.count()).cast("long").alias("rows"))
+
+
 @query("conformal_p", f"WITH {PVALUE} SELECT row_id, rf_pvalue FROM pv")
 def conformal_p(spark, sf):
     return with_pvalues(spark, sf).select("row_id", "rf_pvalue")

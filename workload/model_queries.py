@@ -8,21 +8,28 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flowsentry.config import CascadeConfig, ScorerConfig
+from flowsentry.functions.labels import with_labels
+from flowsentry.functions.uploads import capture_name
 from flowsentry.models import baselines
 from flowsentry.models.gate import GateConfig
 from flowsentry.models.preprocess import fit_preprocessor
 from flowsentry.models.projection import FourierFeatures, projected, svd_components
 from flowsentry.models.scorer import RotationScorer
-from flowsentry.operators import metrics
+from flowsentry.models.versions import ModelVersions
+from flowsentry.operators import evidence, metrics
 from flowsentry.operators.split import time_order
 from flowsentry.operators.signature import read_signature_table
 from flowsentry.plans.ablation import cascade_report, rule_report
 from flowsentry.plans.cascade import batch_status, comparison, run_cascade
 from flowsentry.plans.file_inference import infer_files
 from flowsentry.session import materialize, scratch_path
+from flowsentry.streaming.pipeline import fresh_checkpoint, upload_stream
+from flowsentry.streaming.scoring import FileVerdicts, scored_stream, upload_judge
 from workload import views
 from workload.flow_queries import WIDE, external_table
 from workload.metric_queries import CASCADE, RATES_SQL, with_pvalues
+from workload.packet_queries import capture_verdicts, live_by_capture
+from workload.stream_queries import RESOLVED_CTE, upload_events
 from workload.registry import query
 
 NOT_FEATURES = ["value", "k", "user_id", "event_type"]
@@ -71,14 +78,127 @@ def svd_rff(spark, sf):
     return z.select("row_id", norm.alias("squared_norm"))
 
 
+_scorers: dict = {}
+
+
+def published_scorer(spark, sf):
+    """One fit per application and folder, saved as a version that the queries load; with the split features."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _scorers:
+        s = materialize(split_features(spark, sf), "split-features")
+        benign = s.filter("binary_label = 0")
+        scorer = RotationScorer.fit(
+            benign.filter("split = 'train'").drop("split"), benign.filter("split = 'val'").drop("split"), SCORER
+        )
+        models = ModelVersions(spark, scratch_path(spark, "models"))
+        models.publish(scorer)
+        _scorers[key] = models, s
+    return _scorers[key]
+
+
 @query("selfsup_score")
 def selfsup_score(spark, sf):
-    s = materialize(split_features(spark, sf), "split-features")
-    benign = s.filter("binary_label = 0")
-    scorer = RotationScorer.fit(
-        benign.filter("split = 'train'").drop("split"), benign.filter("split = 'val'").drop("split"), SCORER
+    models, s = published_scorer(spark, sf)
+    return models.current()[1].predict(s.filter("split = 'test'")).select("row_id", "rf_score", "rf_pred")
+
+
+@query(
+    "selfsup_laws",
+    f"""WITH {views.SPLITS} SELECT count(*) AS scored, count(*) FILTER (WHERE split = 'val') AS validation, true AS in_range,
+    true AS share_above_threshold, CAST(200 AS BIGINT) AS trees, true AS within_depth, true AS shares_sum_to_one
+    FROM splits WHERE split = 'test' OR (split = 'val' AND binary_label = 0)""",
+)
+def selfsup_laws(spark, sf):
+    """What holds for any fit: scores in [0, 1], the 0.97 share of benign validation rows at or below the threshold,
+    200 trees, each with shares that sum to one at its leaves."""
+    models, s = published_scorer(spark, sf)
+    scorer = models.current()[1]
+    rows = scorer.predict(s.filter("split = 'test' OR (split = 'val' AND binary_label = 0)"))
+    val = F.col("split") == "val"
+    laws = rows.agg(
+        F.count("*").alias("scored"),
+        F.count_if(val).alias("validation"),
+        F.bool_and(F.col("rf_score").between(0.0, 1.0)).alias("in_range"),
+        # At most 3 % lie above; at least 97 % do not, but for the row the quantile is interpolated at.
+        (F.abs(F.count_if(val & (F.col("rf_pred") == 0)) - SCORER.threshold_quantile * F.count_if(val)) <= 1).alias("share_above_threshold"),
+    )
+    leaf = F.col("feature") < 0
+    total = F.aggregate("shares", F.lit(0.0), lambda a, v: a + v)
+    trees = scorer.forest.nodes.agg(
+        F.count_distinct("tree").alias("trees"),
+        (F.max("node") < 2 ** (SCORER.max_depth + 1)).alias("within_depth"),
+        F.bool_and(~leaf | (F.abs(total - 1) < 1e-5)).alias("shares_sum_to_one"),
+    )
+    return laws.crossJoin(trees)  # one row each
+
+
+@query(
+    "stream_scored",
+    f"""WITH {views.SPLITS} SELECT row_id, CAST(1 AS INTEGER) AS model_version, true AS in_range, true AS as_in_batch FROM splits""",
+)
+def stream_scored(spark, sf):
+    """All flows scored by the published model as they arrive, beside the scores of one batch."""
+    models, s = published_scorer(spark, sf)
+    flows = with_labels(views.raw_flows(spark, sf, stream=True)).drop(*NOT_FEATURES)
+    results = scratch_path(spark, "stream-scored")
+    scored_stream(flows, models, results, fresh_checkpoint(flows, "stream-scored"), ["row_id"]).awaitTermination()
+    streamed = spark.read.parquet(results).drop("batch")
+    batch = models.current()[1].predict(s).select("row_id", F.col("rf_score").alias("want"), F.col("rf_pred").alias("want_pred"))
+    same = (F.abs(F.col("rf_score") - F.col("want")) < 1e-6) & (F.col("rf_pred") == F.col("want_pred"))
+    return streamed.join(batch, "row_id").select(
+        "row_id", "model_version", F.col("rf_score").between(0.0, 1.0).alias("in_range"), same.alias("as_in_batch")
+    )
+
+
+STREAM_ROUTES = f"""WITH {views.FLOWS}, {views.UPLOADS.removeprefix(views.EVENTS + ',')}, {views.CAPTURE_VERDICTS},
+live AS (SELECT capture, CASE WHEN bool_or(prediction = 'attack') THEN 'attack' ELSE 'benign' END AS prediction FROM cap_verdicts GROUP BY capture),
+{RESOLVED_CTE.split("judged AS")[0].strip().rstrip(",")},
+files AS (SELECT DISTINCT source_file FROM flows)
+SELECT arrival AS offset, CASE WHEN file_type = 'flow_csv' THEN 'model' WHEN s.source_file IS NOT NULL THEN 'resolved_model' ELSE 'live_rules' END AS route,
+  CASE WHEN file_type = 'flow_csv' THEN 'error' WHEN s.source_file IS NOT NULL THEN 'by_model' ELSE coalesce(l.prediction, 'benign') END AS prediction,
+  true AS by_newest_verdict
+FROM routed r LEFT JOIN files s ON s.source_file = r.flow_file AND r.file_type <> 'flow_csv' LEFT JOIN live l ON l.capture = r.name"""
+
+
+@query("stream_routed", STREAM_ROUTES)
+def stream_routed(spark, sf):
+    """Uploads judged as they arrive: files by the published model, once each, other captures by their live verdicts.
+
+    The twin names no verdict of a model; that it is the one of file inference is compared here.
+    """
+    models, s = published_scorer(spark, sf)
+    uploads = upload_events(spark, sf, stream=True)
+    live = live_by_capture(capture_verdicts(spark, sf))
+    named = views.uploads(spark, sf).select("file_path", capture_name(F.col("file_path")).alias("capture_name")).distinct()
+    live = named.join(live, "capture_name").select(
+        "file_path",
+        F.col("live_prediction").alias("prediction"),
+        F.col("live_attack_type").alias("attack_type"),
+        F.lit("live verdict of a window").alias("detection_reason"),
+    )
+    files, mapping = s.select(F.col("source_file").alias("flow_file")).distinct(), evidence.capture_file_map(spark)
+    verdicts = FileVerdicts(models, lambda: s.drop("split"), scratch_path(spark, "file-verdicts"))
+    judge = upload_judge(verdicts, lambda batch: evidence.resolve_captures(batch, mapping, files).drop("status", "reason"), materialize(live, "live"))
+    kept = scratch_path(spark, "routed")
+
+    def keep(batch):
+        judged = judge(batch)
+        judged.select("offset", "route", "prediction", "flow_csv_path").write.mode("append").parquet(kept)
+        return judged
+
+    results, alerts = scratch_path(spark, "results"), scratch_path(spark, "alerts")
+    upload_stream(uploads, keep, results, alerts, fresh_checkpoint(uploads, "uploads")).awaitTermination()
+    want = infer_files(s.select("source_file").distinct(), s.drop("split"), models.current()[1]).select(
+        F.col("source_file").alias("flow_csv_path"), F.col("prediction").alias("want")
+    )
+    by_model = F.col("route") == "resolved_model"
+    routed = spark.read.parquet(kept).join(want, "flow_csv_path", "left")
+    return routed.select(
+        "offset",
+        "route",
+        F.when(by_model, F.lit("by_model")).otherwise(F.col("prediction")).alias("prediction"),
+        (~by_model | (F.col("prediction") == F.col("want"))).alias("by_newest_verdict"),
     )
-    return scorer.predict(s.filter("split = 'test'")).select("row_id", "rf_score", "rf_pred")
 
 
 @query(
@@ -126,16 +246,10 @@ def cascade_report_query(spark, sf):
 
 @query("file_inference")
 def file_inference(spark, sf):
-    s = materialize(split_features(spark, sf), "split-features")
-    benign = s.filter("binary_label = 0").drop("source_port")
-    scorer = RotationScorer.fit(
-        benign.filter("split = 'train'").drop("split"), benign.filter("split = 'val'").drop("split"), SCORER
-    )
-    path = scratch_path(spark, "scorer")
-    scorer.save(spark, path)
+    models, s = published_scorer(spark, sf)
     known = s.select("source_file").distinct()
     wanted = known.unionByName(known.select(F.concat(F.lit("absent-"), F.col("source_file")).alias("source_file")))
-    return infer_files(wanted, s, RotationScorer.load(spark, path))
+    return infer_files(wanted, s, models.current()[1])
 
 
 @query("iforest")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from flowsentry.functions import uploads as U
 from flowsentry.operators import uploads
-from flowsentry.plans.alerts import build_alerts, tenant_alert_counts
+from flowsentry.plans.alerts import AlertStore, build_alerts, tenant_alert_counts
+from flowsentry.session import materialize, scratch_path
 from flowsentry.sources.topics import consumed, malformed, parse_events, to_records
 from workload import views
 from workload.registry import query
@@ -258,6 +259,42 @@ def tenant_counts(spark, sf):
     return tenant_alert_counts(build_alerts(judged(spark, sf)))
 
 
+NESTED = """'{"attack_ratio":' || CASE WHEN file_type = 'pcap' THEN '0.5' ELSE '2' END || ',"files":["' || batch_hash || '",[1],{}]'
+  || CASE WHEN arrival % 3 = 0 THEN '' ELSE ',"inner":{' || CASE WHEN arrival % 2 = 0 THEN '"deep":{"tenant":"' || tenant_id || '"}' ELSE '"deep":{}' END || '}' END || '}'"""
+
+
+@query("evidence_nested", f"""WITH {views.UPLOADS} SELECT arrival, {NESTED} AS evidence FROM uploads""")
+def evidence_nested(spark, sf):
+    u = views.uploads(spark, sf)
+    tenant = F.when(F.col("arrival") % 2 == 0, F.col("tenant_id")).otherwise(F.lit(""))
+    inner = F.concat(F.lit('{"deep":{"none":null,"tenant":"'), tenant, F.lit('","empty":""}}'))
+    inner = F.when(F.col("arrival") % 3 == 0, F.lit('""')).otherwise(inner)
+    ratio = F.when(F.col("file_type") == "pcap", F.lit("0.5")).otherwise(F.lit("2"))
+    text = F.concat(
+        F.lit('{"note":null,"inner":'), inner, F.lit(',"files":[null,"","'), F.col("batch_hash"), F.lit('",[1,null],{"x":""}],"attack_ratio":'), ratio, F.lit("}")
+    )
+    return u.select("arrival", U.nested_evidence(text).alias("evidence"))
+
+
+@query(
+    "alert_store",
+    f"""WITH {views.UPLOADS}, hits AS (SELECT *, arrival % 2 AS commit FROM uploads WHERE contains(lower(file_path), 'attack'))
+    SELECT tenant_id, count(*) FILTER (WHERE commit = 1 OR tenant_id <> 'tenant_0') AS listed, count(*) FILTER (WHERE commit = 0) AS before
+    FROM hits GROUP BY tenant_id""",
+)
+def alert_store(spark, sf):
+    """Two commits with a clearing of one tenant between, then compacted: alerts listed, and those before the second."""
+    store = AlertStore(spark, scratch_path(spark, "alert-store"))
+    log = judged(spark, sf)
+    for part in (0, 1):
+        store.append(build_alerts(log.filter(F.col("offset") % 2 == part)))
+        if part == 0:
+            before = materialize(tenant_alert_counts(store.alerts()).withColumnRenamed("alerts", "before"), "stored")
+            store.clear("tenant_0")
+    store.compact()
+    return tenant_alert_counts(store.alerts()).withColumnRenamed("alerts", "listed").join(before, "tenant_id")
+
+
 @query(
     "content_groups",
     """SELECT sha256(text) AS content_hash, count(*) AS copies, min(doc_id) AS first_file FROM documents GROUP BY 1""",
