@@ -12,13 +12,17 @@ already known to be connected need no verification:
 1. pairs that meet in buckets (a token in the prefix) of up to PAIRED classes are formed under every order
    and kept if they meet under all of them; each class is verified with its least partner first, and other
    pairs only if their components still differ;
-2. a larger bucket matters only to classes that are in large buckets under every order. There the members
-   are verified with the first one, then with the first one outside the largest component (REPEATS times),
-   and what is then still apart is paired in full: those outside the largest component with all others.
-
-No step caps a bucket: the steps before the last only spare pairs it would form. A family of many near
-copies costs about one pair a member where some member is similar to most others; a large family whose
-members are all just short of the threshold costs the pairs between its components.
+2. a larger bucket matters only to classes that are in large buckets under every order (the crowd). There
+   every member is verified with the first one, the pivot. Two members that are both similar to the pivot
+   are connected. If one is not, then for the two to be similar they must have a difference to the pivot in
+   common: a token that both have and the pivot lacks or, where the other one lacks more of the pivot's
+   tokens than it has tokens of its own, a token of the pivot that both lack. So the crowd is bucketed again
+   by these differences, which in a family of near copies are rare; small buckets are paired, and larger ones
+   are a crowd with pivots of their own. After LEVELS of this, members that are still apart are paired in full.
+
+No step caps a bucket. The pair of steps is exact: with t the threshold, e the number of differences to the
+pivot and H = (|x| + |y|) (1 - t) / (1 + t) the differences that similar sets can have, x and y share at least
+(e_x + e_y - H) / 2 differences, which exceeds half of e_y if x is not similar to the pivot.
 
 A token is a 64-bit hash of the n-gram; sets are compared by 128-bit digests and counted exactly on hashes.
 
@@ -48,8 +52,8 @@ SLICE = 8 << 20
 ORDERS, QUARTER = 2, np.uint64(1 << 62)
 #: Documents from which on a token can count as frequent, and frequent tokens held by each task at most.
 FREQUENT, TABLE = 4, 1 << 20
-#: Members of a bucket whose pairs are formed at once, and more leaders tried in larger ones.
-PAIRED, REPEATS = 64, 2
+#: Members of a bucket whose pairs are formed at once, and times a larger one is bucketed again.
+PAIRED, LEVELS = 64, 3
 #: Rows of a table that may be broadcast.
 SMALL = 1 << 18
 
@@ -189,20 +193,6 @@ def _similar_size(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with their component so far (comp), as a written table."""
-    known = components(links)
-    joined = members.join(known.withColumnRenamed("node", "cls"), "cls", "left")
-    return written(joined.withColumn("comp", F.coalesce("component", "cls")).drop("component"), "ngram-members")
-
-
-def _outside(members: DataFrame) -> DataFrame:
-    """(token, main, lead): a bucket's largest component and its first member outside it; buckets of one component are left out."""
-    sizes = members.groupBy("token", "comp").agg(F.count("*").alias("k"), F.min("cls").alias("lead"))
-    main = sizes.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("m")).select("token", F.col("m.comp").alias("main"))
-    return sizes.join(main, "token").where("comp <> main").groupBy("token").agg(F.first("main").alias("main"), F.min("lead").alias("lead"))
-
-
 def _candidates(members: DataFrame, percent: int, orders: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) that meet under every order, once or more in a bucket of up to PAIRED classes; and the crowd (token,
     cls, n): members of larger buckets of the first order that are in larger buckets under all orders.
@@ -233,32 +223,67 @@ def _links(pairs: DataFrame, crowd: DataFrame, sets: DataFrame, percent: int) ->
     """Links (a, b) between classes that give the components of all similar classes."""
     nearest = pairs.groupBy("a").agg(F.min("b").alias("b"))
     links = _verified(nearest, sets, percent)
-    crowded = not crowd.isEmpty()
-    if crowded:
-        lead = crowd.groupBy("token").agg(F.min(F.struct("cls", "n")).alias("l")).select("token", F.col("l.cls").alias("b"), F.col("l.n").alias("nb"))
-        stars = crowd.join(lead, "token").where("cls <> b").where(_similar_size("n", "nb", percent)).select(F.col("cls").alias("a"), "b").distinct()
-        links = written(links.unionByName(_verified(stars, sets, percent)), "ngram-links")
     others = pairs.join(nearest, ["a", "b"], "left_anti")
     links = written(links.unionByName(_verified(_apart(others, links), sets, percent)), "ngram-links")
-    if not crowded:
-        return links
-    for _ in range(REPEATS):
-        now = _grouped(crowd, links)
-        lead = _outside(now).join(now.select("token", F.col("cls").alias("lead"), F.col("n").alias("nb"), F.col("comp").alias("own")), ["token", "lead"])
-        stars = now.join(lead, "token").where("comp <> own").where(_similar_size("n", "nb", percent))
-        found = _verified(stars.select(F.col("cls").alias("a"), F.col("lead").alias("b")).distinct(), sets, percent)
-        if found.isEmpty():
-            break
-        links = written(links.unionByName(found), "ngram-links")
-    now = _grouped(crowd, links)
-    main = _outside(now).select("token", "main")
-    out = now.join(main, "token").where("comp <> main").drop("main")
-    rest = now.join(main.select("token"), "token", "left_semi").select("token", *(F.col(c).alias(f"{c}_b") for c in ("cls", "n", "comp")))
-    met = out.join(rest, "token").where("comp <> comp_b").where(_similar_size("n", "n_b", percent))
-    full = met.select(F.greatest("cls", "cls_b").alias("a"), F.least("cls", "cls_b").alias("b")).distinct()
+    band = F.floor(F.log(F.col("n")) / -F.log(F.lit(percent / 100)))
+    # Similar sizes are in the same band or in neighbouring ones.
+    crowd = crowd.select(F.explode(F.array(band, band + 1)).alias("band"), "token", "cls").select(F.xxhash64("token", "band").alias("bucket"), "cls")
+    for level in range(LEVELS):
+        crowd = _several(crowd, links)
+        if crowd.isEmpty():
+            return links
+        stars = _stars(crowd, sets, percent)
+        links = written(links.unionByName(stars.where("linked").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).where("a <> b")), "ngram-links")
+        close, crowd = _by_differences(stars, level)
+        links = written(links.unionByName(_verified(_apart(close, links), sets, percent)), "ngram-links")
+    crowd = _several(crowd, links)
+    left = crowd.select("bucket", F.col("cls").alias("a"), F.col("comp").alias("comp_a"))
+    right = crowd.select("bucket", F.col("cls").alias("b"), F.col("comp").alias("comp_b"))
+    full = left.join(right, "bucket").where("a > b and comp_a <> comp_b").select("a", "b").distinct()
     return links.unionByName(_verified(full, sets, percent))
 
 
+def _several(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """The crowd (bucket, cls, comp) in buckets that still hold several components, as a written table."""
+    known = components(links).select(F.col("node").alias("cls"), "component")
+    crowd = written(crowd.select("bucket", "cls").join(known, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component"), "ngram-crowd")
+    several = crowd.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
+    return written(crowd.join(several, "bucket", "left_semi"), "ngram-crowd")
+
+
+def _stars(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each member of a crowd with the pivots of its buckets: own (tokens the pivot lacks), lacks, and whether it is linked."""
+    pivots = crowd.groupBy("bucket").agg(F.min("cls").alias("pivot"))
+    pairs = crowd.join(pivots, "bucket").select("cls", "pivot").distinct()
+    met = pairs.join(sets.select("cls", F.col("tokens").alias("own")), "cls").join(sets.select(F.col("cls").alias("pivot"), F.col("tokens").alias("lead")), "pivot")
+    shared = F.size(F.array_intersect("own", "lead"))
+    linked = 100 * shared >= percent * (F.size("own") + F.size("lead") - shared)
+    return written(met.select("pivot", "cls", linked.alias("linked"), F.array_except("own", "lead").alias("own"), F.array_except("lead", "own").alias("lacks")), "ngram-stars")
+
+
+def _by_differences(stars: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that have a difference to a pivot in common, from buckets of up to PAIRED; the others as a crowd (bucket, cls).
+
+    One of a pair must not be linked to the pivot. A common lack counts only where one lacks more than it has of its own.
+    """
+    short = F.size("own") < F.size("lacks")
+    rows = stars.select("pivot", "cls", "linked", short.alias("short"), "own", "lacks")
+    by_own = rows.select("pivot", F.lit(0).alias("sign"), F.explode("own").alias("token"), "cls", "linked", "short")
+    by_lack = rows.where("short or not linked").select("pivot", F.lit(1).alias("sign"), F.explode("lacks").alias("token"), "cls", "linked", "short")
+    keyed = by_own.unionByName(by_lack).withColumn("bucket", F.xxhash64("pivot", "sign", "token", F.lit(level)))
+    sizes = keyed.groupBy("bucket").agg(
+        F.count("*").alias("k"), F.count_if(~F.col("linked")).alias("outside"), F.max("sign").alias("lack"), F.count_if("short").alias("shorts")
+    )
+    useful = sizes.where((F.col("k") > 1) & (F.col("outside") > 0) & ((F.col("lack") == 0) | (F.col("shorts") > 0))).select("bucket", (F.col("k") > PAIRED).alias("large"))
+    met = written(keyed.join(useful, "bucket").select("bucket", "sign", "cls", "linked", "short", "large"), "ngram-differences")
+    small = met.where("not large")
+    other = small.select("bucket", *(F.col(c).alias(f"{c}_b") for c in ("cls", "linked", "short")))
+    apart = (F.col("cls") > F.col("cls_b")) & ~(F.col("linked") & F.col("linked_b"))
+    lacking = (F.col("sign") == 0) | ((F.col("linked") | F.col("short_b")) & (F.col("linked_b") | F.col("short")))
+    close = small.join(other, "bucket").where(apart & lacking).select(F.col("cls").alias("a"), F.col("cls_b").alias("b")).distinct()
+    return written(close, "ngram-close"), met.where("large").select("bucket", "cls")
+
+
 def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, orders: int = ORDERS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles and component_id, the smallest id reachable by links of at least percent / 100."""
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -83,6 +83,18 @@ def test_a_family_without_a_centre(spark, make_docs, monkeypatch):
     assert len({c for _, _, c in got}) > 1
 
 
+def test_a_family_of_cut_copies(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(J, "PAIRED", 4)
+    rng, words, rows = random.Random(6), prose(15, 120).split(), []
+    for k in range(60):
+        at, n = rng.randrange(100), rng.randrange(2, 16)
+        text = " ".join(words[:at] + words[at + n :])
+        rows.append((k, edited(rng, text, 1 / 100) if k % 3 == 0 else text, None))
+    rng.shuffle(rows)
+    got = actual(J.similar_documents(make_docs(rows)))
+    assert got == expected(rows)
+
+
 def test_prefix_length():
     for percent in (80, 90):
         for size in range(1, 300):
