@@ -3,9 +3,11 @@
 Labelled page outcomes (bad: 0 or 1) are counted per host. Bad shares are shrunk level by level through
 beta-binomial priors: all pages to suffix, suffix to registered domain, domain to host. A level's prior
 has the posterior mean of the level above as its mean, and a strength (pseudo-pages) fitted to how much
-the level's groups differ beyond binomial noise (method of moments on counts). A host is blocked if the
-lower bound of its posterior bad share exceeds the limit; hosts without outcomes get their domain's
-posterior, unknown domains their suffix's, and unknown suffixes the prior of all pages.
+the level's groups differ beyond binomial noise (method of moments on counts; the weakest strength where
+they do not). The strength is lowered by the variance of the posterior above, so that a level knows no more
+than what it comes from. A host is blocked if the lower bound of its posterior bad share exceeds the share
+of all pages times a factor; hosts without outcomes get their domain's posterior, unknown domains their
+suffix's, and unknown suffixes the prior of all pages.
 
 Only counts leave the pages: outcomes are aggregated before every shuffle, the counts of hosts are
 written once, and the three levels meet in joins whose right side has one row per key.
@@ -43,10 +45,10 @@ MAX_RULES = 1000
 class ReputationLimits:
     """Parameters of the priors and of the verdict."""
 
-    #: Block when the lower bound of the bad share exceeds this.
-    max_bad_share: float = 0.2
-    #: Normal quantile of the bound (1.2816: 90 %, one-sided).
-    z: float = 1.2816
+    #: Block when the lower bound of the bad share exceeds this times the share of all pages.
+    max_ratio: float = 1.0
+    #: Normal quantile of the bound (0.8416: 80 %, one-sided).
+    z: float = 0.8416
     #: Bounds of the fitted strength of a prior, in pages.
     min_strength: float = 2.0
     max_strength: float = 1000.0
@@ -99,27 +101,36 @@ def _strength(groups: DataFrame, limits: ReputationLimits) -> DataFrame:
     )
     fitted = (F.col("pages") - F.col("k")) / (F.col("q") - F.col("k")) - 1
     strength = F.when(F.coalesce(F.col("q") > F.col("k"), F.lit(False)), F.greatest(F.lit(limits.min_strength), F.least(F.lit(limits.max_strength), fitted)))
-    return total.select(F.coalesce(strength, F.lit(limits.max_strength)).alias("strength"))
+    return total.select(F.coalesce(strength, F.lit(limits.min_strength)).alias("fitted"))
 
 
 def _shrunk(groups: DataFrame, limits: ReputationLimits) -> DataFrame:
-    """Posterior of each group: its pseudo-counts a (bad) and b (good)."""
+    """Posterior of each group (with mean and var of the level above): its pseudo-counts a (bad) and b (good)."""
     prior = groups.crossJoin(F.broadcast(_strength(groups, limits)))  # one row
+    spread = 1 / (F.col("fitted") + 1) + F.col("var") / (F.col("mean") * (1 - F.col("mean")))
+    prior = prior.withColumn("strength", F.greatest(F.lit(limits.min_strength), 1 / spread - 1))
     return prior.withColumn("a", F.col("strength") * F.col("mean") + F.col("bad")).withColumn(
         "b", F.col("strength") * (1 - F.col("mean")) + F.col("n") - F.col("bad")
     )
 
 
+def _moments() -> tuple[Column, Column]:
+    """Mean and variance of the posterior of columns a and b."""
+    a, b = F.col("a"), F.col("b")
+    return (a / (a + b)).alias("mean"), (a * b / ((a + b) * (a + b) * (a + b + 1))).alias("var")
+
+
 def posterior(hosts: DataFrame, limits: ReputationLimits = ReputationLimits()) -> DataFrame:
-    """hosts (host, suffix, domain, n, bad; one row per host) with pseudo-counts a and b of every host."""
+    """hosts (host, suffix, domain, n, bad; one row per host) with pseudo-counts a and b, and share_of_all, of every host."""
     top = hosts.agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
-    share = (limits.base_share * limits.base_strength + F.col("bad")) / (limits.base_strength + F.col("n"))
-    every = top.select(share.alias("mean"))
+    bad, good = limits.base_share * limits.base_strength, (1 - limits.base_share) * limits.base_strength
+    every = top.select((bad + F.col("bad")).alias("a"), (good + F.col("n") - F.col("bad")).alias("b")).select(*_moments())
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).crossJoin(F.broadcast(every))
-    suffixes = written(_shrunk(suffixes, limits).select("suffix", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean")), "suffixes")
+    suffixes = written(_shrunk(suffixes, limits).select("suffix", *_moments()), "suffixes")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).join(suffixes, "suffix")
-    domains = written(_shrunk(domains, limits).select("domain", (F.col("a") / (F.col("a") + F.col("b"))).alias("mean")), "domains")
-    return _shrunk(hosts.join(domains, "domain"), limits).select("host", "n", "bad", "a", "b")
+    domains = written(_shrunk(domains, limits).select("domain", *_moments()), "domains")
+    found = _shrunk(hosts.join(domains, "domain"), limits).select("host", "n", "bad", "a", "b")
+    return found.crossJoin(F.broadcast(every.select(F.col("mean").alias("share_of_all"))))  # one row
 
 
 def lower_bound(a: Column, b: Column, z: float) -> Column:
@@ -145,8 +156,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_co
     judged = posterior(counted, limits)
     bound = lower_bound(F.col("a"), F.col("b"), limits.z)
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("bound") > limits.max_bad_share, "block").otherwise("allow")
-    hosts = judged.select("host", (F.col("a") / (F.col("a") + F.col("b"))).alias("share"), bound.alias("bound"))
+    own = F.when(F.col("bound") > limits.max_ratio * F.col("share_of_all"), "block").otherwise("allow")
+    hosts = judged.select("host", "share_of_all", (F.col("a") / (F.col("a") + F.col("b"))).alias("share"), bound.alias("bound"))
     return split.join(hosts, "host", "left").select(
         F.col("_id").alias(id_col),
         "host",

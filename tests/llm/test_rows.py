@@ -81,6 +81,12 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert all(bound <= share for _, share, bound in got.values())
 
 
+def test_one_bad_label_blocks_nobody_else(spark):
+    urls = [(k, f"http://{h}/x") for k, h in enumerate(["a.net", "b.net", "x.a.net", "c.org", "d.co.uk"])] + [(50, None)]
+    got = {r.host: r.verdict for r in judged(spark, urls, [(0, 1)]).collect()}
+    assert [h for h, v in got.items() if v == "block" and h != "a.net"] == []
+
+
 def test_suffix_and_domain(spark):
     from pyspark.sql import functions as F
 
