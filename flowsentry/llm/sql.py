@@ -6,12 +6,20 @@ _LABELS = "array_to_string(string_split(plain, '.')[-{0}:], '.')"
 def _strength(groups: str) -> str:
     """One row: the fitted strength of the prior of a level's groups (mean, n, bad)."""
     return f"""
-      SELECT coalesce(CASE WHEN q > k THEN greatest(2.0, least(1000.0, (pages - k) / (q - k) - 1)) END, 1000.0) AS strength
+      SELECT coalesce(CASE WHEN q > k THEN greatest(2.0, least(1000.0, (pages - k) / (q - k) - 1)) END, 2.0) AS fitted
       FROM (SELECT sum(CAST(n * pow(bad / n - mean, 2) / (mean * (1 - mean)) AS DECIMAL(28, 9)))::DOUBLE AS q,
                    count(*)::DOUBLE AS k, sum(n)::DOUBLE AS pages
             FROM {groups} WHERE n > 0)"""
 
 
+def _posterior(key: str, groups: str, strength: str) -> str:
+    """Mean and variance of each group's posterior, its prior no surer than the level above."""
+    return f"""
+      SELECT {key}, a / (a + b) AS mean, a * b / ((a + b) * (a + b) * (a + b + 1)) AS var
+      FROM (SELECT {key}, s * mean + bad AS a, s * (1 - mean) + n - bad AS b
+        FROM (SELECT *, greatest(2.0, 1 / (1 / (fitted + 1) + var / (mean * (1 - mean))) - 1) AS s FROM {groups}, {strength}))"""
+
+
 OP1 = f"""
 WITH cut AS (
   SELECT page_id, position('://' IN url) > 0 AS found, substring(url, position('://' IN url) + 3) AS rest FROM pages
@@ -36,23 +44,22 @@ WITH cut AS (
     CASE WHEN address THEN plain WHEN two THEN {_LABELS.format(2)} ELSE {_LABELS.format(1)} END AS suffix,
     CASE WHEN address THEN plain WHEN two THEN {_LABELS.format(3)} ELSE {_LABELS.format(2)} END AS domain
   FROM level
+), every AS (
+  SELECT *, a / (a + b) AS mean, a * b / ((a + b) * (a + b) * (a + b + 1)) AS var
+  FROM (SELECT 0.1 * 2.0::DOUBLE + sum(bad) AS a, 0.9 * 2.0::DOUBLE + sum(n) - sum(bad) AS b FROM hosts)
 ), suffix_groups AS (
-  SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (0.1 * 2.0 + sum(bad)) / (2.0 + sum(n)) FROM hosts) AS mean FROM hosts GROUP BY suffix
+  SELECT suffix, n, bad, mean, var FROM (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY suffix), every
 ), suffix_strength AS ({_strength("suffix_groups")}
-), suffixes AS (
-  SELECT suffix, (strength * mean + bad) / (strength + n) AS mean FROM suffix_groups, suffix_strength
+), suffixes AS ({_posterior("suffix", "suffix_groups", "suffix_strength")}
 ), domain_groups AS (
-  SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS mean FROM hosts JOIN suffixes USING (suffix) GROUP BY suffix, domain
+  SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS mean, any_value(var) AS var FROM hosts JOIN suffixes USING (suffix) GROUP BY suffix, domain
 ), domain_strength AS ({_strength("domain_groups")}
-), domains AS (
-  SELECT domain, (strength * mean + bad) / (strength + n) AS mean FROM domain_groups, domain_strength
+), domains AS ({_posterior("domain", "domain_groups", "domain_strength")}
 ), host_groups AS (
-  SELECT host, n, bad, mean FROM hosts JOIN domains USING (domain)
+  SELECT host, n, bad, mean, var FROM hosts JOIN domains USING (domain)
 ), host_strength AS ({_strength("host_groups")}
-), pseudo AS (
-  SELECT host, strength * mean + bad AS a, strength * (1 - mean) + n - bad AS b FROM host_groups, host_strength
 ), judged AS (
-  SELECT host, a / (a + b) AS share, greatest(0.0, a / (a + b) - 1.2816 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS bound FROM pseudo
+  SELECT host, mean AS share, greatest(0.0, mean - 0.8416 * sqrt(var)) AS bound FROM ({_posterior("host", "host_groups", "host_strength")})
 ), ruled AS (
   SELECT *, CASE
     WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
@@ -63,7 +70,7 @@ WITH cut AS (
   FROM split LEFT JOIN judged USING (host)
 )
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.2 THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > (SELECT mean FROM every) THEN 'block' ELSE 'allow' END AS verdict,
   round(share, 6) AS host_bad_share, round(bound, 6) AS bound
 FROM ruled
 """
@@ -186,7 +193,7 @@ WITH texts AS (
 ), failed AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts
 )
-SELECT *, NOT base_failed AND covered_words <= 0.45 * n_words AND longest_repeat <= 400 AS kept FROM failed
+SELECT *, NOT base_failed AND covered_words <= 0.2 * n_words AND longest_repeat <= 100 AS kept FROM failed
 """
 
 
