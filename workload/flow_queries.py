@@ -528,6 +528,31 @@ def consecutive_sample(spark, sf):
     return split.consecutive_sample(keyed, 300)
 
 
+@query(
+    "sample_laws",
+    f"""WITH {views.FLOWS} SELECT least(count(*), 450) AS sampled, true AS distinct_rows, true AS of_the_table, true AS repeatable,
+    least(count(*), 300) AS run_length, true AS without_gaps FROM flows""",
+)
+def sample_laws(spark, sf):
+    """What holds for any seed: exact sizes, rows of the table, the same rows again, and a run of neighbours in time."""
+    flows = split.time_order(views.flows(spark, sf)).select("row_id", "_t")
+    sample, again = (split.sample_rows(flows, 450).select("row_id") for _ in range(2))
+    marked = flows.select("row_id", F.lit(1).alias("own")).join(sample.withColumn("drawn", F.lit(1)), "row_id", "right")
+    drawn = marked.agg(
+        F.count("*").alias("sampled"),
+        (F.count_distinct("row_id") == F.count("*")).alias("distinct_rows"),
+        (F.count("own") == F.count("*")).alias("of_the_table"),
+    )
+    differ = sample.exceptAll(again).agg((F.count("*") == 0).alias("repeatable"))
+    # A run has no row of the table between its first and last that it lacks.
+    run = split.consecutive_sample(flows, 300)
+    ends = run.agg(F.min(F.struct("_t", "row_id")).alias("first"), F.max(F.struct("_t", "row_id")).alias("last"), F.count("*").alias("run_length"))
+    place = F.struct("_t", "row_id")
+    inside = flows.crossJoin(F.broadcast(ends)).filter(place.between(F.col("first"), F.col("last")))  # one row
+    gaps = inside.agg(F.max("run_length").alias("run_length"), (F.count("*") == F.max("run_length")).alias("without_gaps"))
+    return drawn.crossJoin(differ).crossJoin(gaps)  # one row each
+
+
 # --- column statistics ------------------------------------------------------
 
 STAT_COLUMNS = ["flow_bytes_s", "flow_packets_s", "flow_duration", "total_fwd_packets"]
