@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from . import decontamination, line_dedup, merkle_manifest, mixing, ngram_join, quality_rules, sharding, simhash_dedup, sql, suffix_dedup, token_alignment, token_counts, url_reputation, window_dedup
 from .frames import table
 
-#: Where the vocabulary files of public tokenizers lie, on the driver and on every executor.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+#: Files of the public tokenizers, found by each task on its own machine.
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
@@ -70,7 +70,7 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
-    return token_alignment.align(table(spark, folder, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+    return token_alignment.align(table(spark, folder, "documents"), TOKENIZER, PIECES)
 
 
 def op13_ngram_join(spark: SparkSession, folder: str) -> DataFrame:

@@ -81,15 +81,16 @@ def counted(column: pa.Array, tokenizer) -> tuple[np.ndarray, np.ndarray]:
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
     """One row per document: its id, n_bytes, n_tokens and whether n_tokens exceeds the limit.
 
-    tokenizer_path: a file of the tokenizers library that every executor has at that place, with a
-    pattern that splits before white space (byte-level BPE).
+    tokenizer_path: a file of the tokenizers library with a pattern that splits before white space (byte-level BPE);
+    a name without a slash is looked up among the public tokenizers of the machine that runs the task.
     """
+    from .token_alignment import file_of
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer = Tokenizer.from_file(file_of(tokenizer_path))
         for batch in batches:
             n_bytes, n_tokens = counted(batch.column(1), tokenizer)
             columns = [batch.column(0), pa.array(n_bytes), pa.array(n_tokens), pa.array(n_tokens > limit)]

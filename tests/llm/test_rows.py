@@ -14,7 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test data not present")
-@pytest.mark.parametrize("name", ["op1_url_reputation", "op2_quality_rules", "op6_mixing", "op8_sharding"])
+@pytest.mark.parametrize("name", ["op1_url_reputation", "op2_quality_rules", "op6_mixing", "op8_sharding", "op11_merkle_manifest"])
 def test_equals_sql(spark, name):
     verdict = check.compare(spark, check.database(FOLDER), FOLDER, name)
     assert verdict.startswith("ok"), verdict
@@ -23,7 +23,7 @@ def test_equals_sql(spark, name):
 def test_queries_are_registered():
     names = list(entry.queries())
     assert "pipeline" in names
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
 
 
 def judged(spark, urls, outcomes=()):
