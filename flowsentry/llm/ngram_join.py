@@ -22,7 +22,9 @@ already known to be connected need no verification:
 
 No step caps a bucket. The pair of steps is exact: with t the threshold, e the number of differences to the
 pivot and H = (|x| + |y|) (1 - t) / (1 + t) the differences that similar sets can have, x and y share at least
-(e_x + e_y - H) / 2 differences, which exceeds half of e_y if x is not similar to the pivot.
+(e_x + e_y - H) / 2 differences, which exceeds half of e_y if x is not similar to the pivot, and e_x - H. So
+prefixes of the differences are enough, own tokens first: about half of them for a member that is similar to
+the pivot, and 1 / 9 of the set's size for another one.
 
 A token is a 64-bit hash of the n-gram; sets are compared by 128-bit digests and counted exactly on hashes.
 
@@ -252,13 +254,23 @@ def _several(crowd: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _stars(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Each member of a crowd with the pivots of its buckets: own (tokens the pivot lacks), lacks, and whether it is linked."""
+    """Each member of a crowd with the pivots of its buckets: whether it is linked, whether it lacks more than it has of
+    its own (short), and the prefix of its differences: own (tokens the pivot lacks) and lacks (of the pivot's tokens)."""
     pivots = crowd.groupBy("bucket").agg(F.min("cls").alias("pivot"))
     pairs = crowd.join(pivots, "bucket").select("cls", "pivot").distinct()
     met = pairs.join(sets.select("cls", F.col("tokens").alias("own")), "cls").join(sets.select(F.col("cls").alias("pivot"), F.col("tokens").alias("lead")), "pivot")
-    shared = F.size(F.array_intersect("own", "lead"))
-    linked = 100 * shared >= percent * (F.size("own") + F.size("lead") - shared)
-    return written(met.select("pivot", "cls", linked.alias("linked"), F.array_except("own", "lead").alias("own"), F.array_except("lead", "own").alias("lacks")), "ngram-stars")
+    met = met.select("pivot", "cls", F.size("own").alias("n"), F.size("lead").alias("r"), F.array_except("own", "lead").alias("own"), F.array_except("lead", "own").alias("lacks"))
+    more, less = F.size("own"), F.size("lacks")
+    shared, e = F.col("n") - more, more + less
+    linked = 100 * shared >= percent * (F.col("n") + F.col("r") - shared)
+    # Differences that any similar member must share: more than half of them but for what sizes allow, or all but n (1 - t) / t.
+    slack = (100 - percent) / (100 + percent)
+    least = F.when(linked, F.floor((e - slack * (more - less)) / 2 - 1e-6) + 1).otherwise(F.ceil(e - F.col("n") * ((100 - percent) / percent) - 1e-6))
+    length = (e - F.greatest(least, F.lit(1)) + 1).cast("int")
+    met = met.select("pivot", "cls", linked.alias("linked"), (more < less).alias("short"), F.array_sort("own").alias("own"), F.array_sort("lacks").alias("lacks"), F.greatest(length, F.lit(0)).alias("length"))
+    rest = F.greatest(F.col("length") - F.size("own"), F.lit(0))
+    first = lambda c, n: F.slice(c, F.lit(1), n)
+    return written(met.select("pivot", "cls", "linked", "short", first("own", F.col("length")).alias("own"), first("lacks", rest).alias("lacks")), "ngram-stars")
 
 
 def _by_differences(stars: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
@@ -266,8 +278,7 @@ def _by_differences(stars: DataFrame, level: int) -> tuple[DataFrame, DataFrame]
 
     One of a pair must not be linked to the pivot. A common lack counts only where one lacks more than it has of its own.
     """
-    short = F.size("own") < F.size("lacks")
-    rows = stars.select("pivot", "cls", "linked", short.alias("short"), "own", "lacks")
+    rows = stars
     by_own = rows.select("pivot", F.lit(0).alias("sign"), F.explode("own").alias("token"), "cls", "linked", "short")
     by_lack = rows.where("short or not linked").select("pivot", F.lit(1).alias("sign"), F.explode("lacks").alias("token"), "cls", "linked", "short")
     keyed = by_own.unionByName(by_lack).withColumn("bucket", F.xxhash64("pivot", "sign", "token", F.lit(level)))
