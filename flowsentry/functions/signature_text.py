@@ -36,37 +36,41 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def _made_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns, made once a row: neither a filter on them nor a column from them is moved below the
+    generator, where it would make them again."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def parse_alert_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Add the alert fields to each line that has ids and endpoints; drop the others."""
-    parts = F.split(_strip(F.col(line)), r"\[\*\*\]")
-    ids = _strip(F.get(parts, F.lit(1)))
+    cut = _made_once(lines, _parts=F.split(_strip(F.col(line)), r"\[\*\*\]")).filter(F.size("_parts") >= 3)
+    parts = F.col("_parts")
+    stripped = _made_once(
+        cut,
+        _time=_strip(F.get(parts, F.lit(0))),
+        _ids=_strip(F.get(parts, F.lit(1))),
+        _tail=_strip(F.concat_ws(" ", F.transform(F.slice(parts, 3, F.size(parts)), _strip))),
+    ).filter((F.col("_time") != "") & F.col("_ids").rlike(IDS_PATTERN))
     # The message is what follows the ids, the endpoints what follows the protocol.
-    head = F.regexp_replace(ids, r"^.*?\[\d+:\d+:\d+\]", "")
-    tail = _strip(F.concat_ws(" ", F.transform(F.slice(parts, 3, F.size(parts)), _strip)))
-    has_proto = tail.rlike(PROTO_PATTERN)
-    ends = F.when(has_proto, _strip(F.regexp_replace(tail, r"^.*?\{[^}]+\}", ""))).otherwise(tail)
-
+    tail = F.col("_tail")
+    ends = F.when(tail.rlike(PROTO_PATTERN), _strip(F.regexp_replace(tail, r"^.*?\{[^}]+\}", ""))).otherwise(tail)
+    head = F.regexp_replace(F.col("_ids"), r"^.*?\[\d+:\d+:\d+\]", "")
     return (
-        lines.withColumn("_parts", parts)
-        .withColumn("_ids", ids)
-        .withColumn("_head", head)
-        .withColumn("_tail", tail)
-        .withColumn("_ends", ends)
-        .filter(F.size("_parts") >= 3)
-        .withColumn("timestamp", _strip(F.get("_parts", F.lit(0))))
-        .filter((F.col("timestamp") != "") & F.col("_ids").rlike(IDS_PATTERN))
+        _made_once(stripped, _ends=ends)
         .filter(F.col("_ends").rlike(ENDPOINTS_PATTERN))
+        .withColumn("timestamp", F.col("_time"))
         .withColumn("gid", _group(F.col("_ids"), IDS_PATTERN, 1).try_cast("int"))
         .withColumn("sid", _group(F.col("_ids"), IDS_PATTERN, 2).try_cast("int"))
         .withColumn("rev", _group(F.col("_ids"), IDS_PATTERN, 3).try_cast("int"))
-        .withColumn("message", F.regexp_replace(_strip(F.col("_head")), r'^"+|"+$', ""))
+        .withColumn("message", F.regexp_replace(_strip(head), r'^"+|"+$', ""))
         .withColumn("priority", _group(F.col("_tail"), PRIORITY_PATTERN, 1).try_cast("int"))
         .withColumn("proto", _group(F.col("_tail"), PROTO_PATTERN, 1))
         .withColumn("src_ip", _group(F.col("_ends"), ENDPOINTS_PATTERN, 1))
         .withColumn("src_port", _group(F.col("_ends"), ENDPOINTS_PATTERN, 2).try_cast("int"))
         .withColumn("dst_ip", _group(F.col("_ends"), ENDPOINTS_PATTERN, 3))
         .withColumn("dst_port", _group(F.col("_ends"), ENDPOINTS_PATTERN, 4).try_cast("int"))
-        .drop("_parts", "_ids", "_head", "_tail", "_ends")
+        .drop("_parts", "_time", "_ids", "_tail", "_ends")
     )
 
 

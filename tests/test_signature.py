@@ -146,3 +146,14 @@ def test_tables_to_join_must_be_unique(spark):
         S.read_signature_table(table.drop("pred"))
     with pytest.raises(ValueError):
         S.flow_keys(table)
+
+
+def test_alert_lines_are_cut_once(spark):
+    """Filters and fields use the parts of a line as they are, instead of cutting the line again."""
+    from flowsentry.functions.signature_text import parse_alert_lines
+
+    lines = spark.createDataFrame([(1, '07/03-10:00:00.000001 [**] [1:491:2] "x" [**] [Priority: 2] {TCP} 10.0.0.1:80 -> 10.0.0.2:81')], "i int, value string")
+    parsed = parse_alert_lines(lines)
+    assert parsed.drop("value").first()[:] == (1, "07/03-10:00:00.000001", 1, 491, 2, "x", 2, "TCP", "10.0.0.1", 80, "10.0.0.2", 81)
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.count("concat_ws(") == 1
