@@ -122,6 +122,19 @@ def test_line_dedup(make_docs, odd_rows, monkeypatch):
     assert line_dedup.dedup_lines(make_docs([])).count() == 0
 
 
+def test_line_dedup_of_twins_in_a_large_bucket(make_docs):
+    """Templated lines that share bands, but are similar only two by two: not to the first line of their bucket."""
+    rng, template, rows = random.Random(11), " ".join(random.Random(12).choices(WORDS, k=80))[:200], []
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    for k in range(250):
+        own = letters(22)
+        rows += [(2 * k, template + own + letters(8), "a"), (2 * k + 1, template + own + letters(8), "a")]
+    lines, root = brute_lines(rows)
+    assert len(set(root.values())) == 250
+    got = {(r.doc_id, r.first_doc_id, r.copies) for r in line_dedup.dedup_lines(make_docs(rows)).collect()}
+    assert got == {(i, i - i % 2, 2) for i, _, _ in lines}
+
+
 def test_kept_text(make_docs):
     docs = make_docs([(1, "one line here\ntwo lines here", "a"), (2, "one line here\nown", "a"), (3, "one line here", "a"), (4, None, "a")])
     out = line_dedup.kept_text(docs, line_dedup.dedup_lines(docs))
