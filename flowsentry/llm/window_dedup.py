@@ -6,17 +6,19 @@ hash: the compact window (l, c, r) holds the runs within [l, r] that hold c. Win
 passage are left out; their nodes are exactly those that are never the least of `width` neighbours, so
 the tree is built of the remaining nodes only, about 2 / width of all.
 
-Windows of different texts with the same function and least shingle share a signature; those with no
-partner are dropped. The shingles around the others are fetched and the windows laid on each other at
-c: neighbours among the windows of one signature, sorted by what follows c and then by what precedes
-it, are verified. A run of `width` shingles around c is a near-duplicate passage if its Jaccard
-similarity with the run in the other window is at least `similarity`; shingles count as shared up to
-`shift` places away, so inserted or lost words do no harm. At 0.8 two such runs share an exact stretch
-to the right or left of c, which makes them neighbours. One shared signature is enough to be
-verified: with h functions a pair at similarity s is found with probability 1 - (1 - s)^h per passage
-of the shortest length (0.992 for the defaults), and longer passages have more windows.
-
-No group of windows is gathered and no pairs of a group are formed.
+Windows with the same function and least shingle share a signature; those with no partner are dropped.
+The shingles around the others are fetched and the windows laid on each other at c. Every two windows of
+a signature with different shingles around them are compared, but for those that can change nothing: a
+window shares at most the shingles that some other window of the signature has, which bounds its passage
+from outside; a window whose passage has reached that bound needs no further partner. Signatures of more
+than HOT places are dealt into blocks of different windows, and each two blocks are compared in a task.
+
+A run of `width` shingles around c is a near-duplicate passage if its Jaccard similarity with the run in
+the other window is at least `similarity`; shingles count as shared up to `shift` places away, so
+inserted or lost words do no harm. One shared signature is enough to be verified: with h functions a pair
+at similarity s is found with probability 1 - (1 - s)^h per passage of the shortest length (0.992 for
+the defaults), and longer passages have more windows. Copies of a text are compared once, as one text
+whose windows match themselves too.
 
 Defined results: as in suffix_dedup: null, empty and short texts have no row, repeated rows are repeats of
 each other, ids may be null or tied, extra columns are ignored, an empty table gives an empty table.
@@ -34,6 +36,9 @@ from . import passages as P
 from . import words as W
 from .frames import forget, written
 
+#: Signatures of more places are compared block by block, in blocks of about so many different windows.
+HOT, BLOCK = 32768, 16384
+
 
 @dataclass(frozen=True)
 class WindowLimits:
@@ -88,29 +93,9 @@ def _signatures(h: np.ndarray, limits: WindowLimits) -> list[np.ndarray]:
     return [np.maximum(W.mix(grams ^ np.uint64(0xA0761D6478BD642F * (f + 1) & (2**64 - 1))), np.uint64(1)) for f in range(limits.functions)]
 
 
-def _match(limits: WindowLimits) -> P.Match:
-    width, shift = limits.width, limits.shift
-    enough = int(np.ceil(2 * width * limits.similarity / (1 + limits.similarity) - 1e-9))
-
-    def runs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which rows have a run with enough shingles shared, and the first and last shingle of such runs."""
-        padded = np.pad(b, ((0, 0), (shift, shift)))
-        shared = np.zeros(a.shape, bool)
-        for s in range(2 * shift + 1):
-            shared |= a == padded[:, s : s + a.shape[1]]
-        shared &= a != 0
-        total = np.cumsum(np.pad(shared, ((0, 0), (1, 0))), axis=1, dtype=np.int16)
-        good = total[:, width:] - total[:, :-width] >= enough
-        return good.any(axis=1), good.argmax(axis=1), good.shape[1] - 1 - good[:, ::-1].argmax(axis=1) + width
-
-    def match(right_a, left_a, right_b, left_b):
-        a, b = np.hstack([left_a[:, ::-1], right_a]), np.hstack([left_b[:, ::-1], right_b])
-        centre, tail = left_a.shape[1], limits.shingle - 1
-        good_a, first_a, last_a = runs(a, b)
-        good_b, first_b, last_b = runs(b, a)
-        return good_a & good_b, first_a - centre, last_a - centre + tail, first_b - centre, last_b - centre + tail
-
-    return match
+def _runs(limits: WindowLimits) -> P.Runs:
+    enough = int(np.ceil(2 * limits.width * limits.similarity / (1 + limits.similarity) - 1e-9))
+    return P.Runs(limits.width, enough, limits.shift, limits.shingle)
 
 
 def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: WindowLimits = WindowLimits()) -> DataFrame:
@@ -140,12 +125,21 @@ def near_duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     def units(h: np.ndarray) -> np.ndarray:
         grams = W.window_hashes(h, limits.shingle)
-        return np.maximum(grams.astype(np.uint16), np.uint16(1)) if len(grams) else np.ones(1, np.uint16)
+        return np.maximum(grams.astype(np.uint32), np.uint32(1)) if len(grams) else np.ones(1, np.uint32)
+
+    def around(places: DataFrame) -> DataFrame:
+        marked = texts.join(P.places_of(places), "_id").groupBy("_id")
+        marked = marked.agg(F.first("_text").alias("_text"), F.first("places").alias("places"), (F.count("*") > 1).alias("copied"))
+        steps = np.arange(1 - limits.width, limits.width)
+        return P.contexts(marked, has_key, units, limits.shingle, steps).withColumn("ctx", F.xxhash64("units"))
 
     texts = docs.select(F.xxhash64(text_col).alias("_id"), F.col(text_col).alias("_text"))
-    signatures = written(P.keyed_places(texts, windows), "windows")
-    around = texts.join(P.places_of(P.repeated_places(signatures)), "_id")
-    steps = np.arange(limits.width), -1 - np.arange(limits.width - 1)
-    around = written(P.contexts(around, has_key, units, limits.shingle, *steps), "window-contexts")
-    forget(signatures)
-    return P.reported(docs, P.merged(P.matches(around, _match(limits), np.uint16)), id_col, text_col)
+    places = written(P.shared_places(P.keyed_places(texts, windows)), "windows")
+    centre, runs = limits.width - 1, _runs(limits)
+    spans = written(P.group_spans(around(places.where(F.col("n") <= HOT)), runs, centre), "window-spans")
+    hot = places.where(F.col("n") > HOT)
+    if not hot.isEmpty():
+        held = written(around(hot), "hot-contexts")
+        spans = spans.unionByName(P.block_spans(held, runs, centre, BLOCK))
+    forget(places)
+    return P.reported(docs, P.merged(spans), id_col, text_col)

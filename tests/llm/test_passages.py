@@ -5,9 +5,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from flowsentry.llm import components, decontamination, line_dedup, suffix_dedup, window_dedup
+from flowsentry.llm import passages as Passages
+from flowsentry.llm import words as W
 from tests.llm.conftest import WORDS, prose
 
 ITEMS = [(1, prose(50, 40)), (2, prose(51, 18)), (3, prose(50, 40)), (4, None), (5, ""), (6, "too short"), (7, prose(52, 9))]
@@ -214,6 +217,97 @@ def test_window_dedup(make_docs, odd_rows):
     assert window_dedup.near_duplicate_passages(make_docs([])).count() == 0
 
 
+def signature_rows(texts):
+    """(key, units, text number, place) of all signatures, by the functions of the operator but without Spark."""
+    limits = window_dedup.WindowLimits()
+    rows = defaultdict(list)
+    for i, text in enumerate(texts):
+        h, found = next((h, f) for _, h, f in W.word_slices(pa.array([text]), 1 << 20))
+        if len(h) < limits.min_words:
+            continue
+        grams = np.maximum(W.window_hashes(h, limits.shingle).astype(np.uint32), 1)
+        n = len(grams)
+        padded = np.concatenate([np.zeros(limits.width - 1, np.uint32), grams, np.zeros(limits.width - 1, np.uint32)])
+        for values in window_dedup._signatures(h, limits):
+            for c in window_dedup.compact_windows(values, np.zeros(n, int), np.full(n, n), limits.width)[1]:
+                rows[int(values[c])].append((padded[c : c + 2 * limits.width - 1], i, int(c)))
+    return rows
+
+
+def brute_windows(texts):
+    """Words of each text that lie in runs similar to those of any other place of the same signature."""
+    limits = window_dedup.WindowLimits()
+    need, out = int(np.ceil(2 * limits.width * 0.8 / 1.8 - 1e-9)), defaultdict(set)
+
+    def shared(a, b):
+        edge = np.pad(b, 2)
+        return np.any([a == edge[s : s + len(a)] for s in range(5)], axis=0) & (a != 0)
+
+    def runs(flags):
+        good = [k for k in range(limits.width) if flags[k : k + limits.width].sum() >= need]
+        return (good[0], good[-1] + limits.width + limits.shingle - 1) if good else None
+
+    for places in signature_rows(texts).values():
+        for x, (a, i, c) in enumerate(places):
+            for b, j, d in places[:x]:
+                one, two = runs(shared(a, b)), runs(shared(b, a))
+                if one and two:
+                    for text, at, (first, end) in ((i, c, one), (j, d, two)):
+                        out[text].update(range(at - limits.width + 1 + first, at - limits.width + 1 + end))
+    return out
+
+
+def excerpts(n, low, high):
+    """Documents that quote a random part of one text of 150 words, one word of it substituted."""
+    rng, text, out = random.Random(n), prose(83, 150).split(), []
+    for k in range(n):
+        size = rng.randint(low, high)
+        at = rng.randint(0, 150 - size)
+        part = text[at : at + size]
+        part[rng.randrange(size)] = f"zz{k}"
+        out.append(f"{prose(2000 + k, 25)} {' '.join(part)} {prose(3000 + k, 25)}")
+    return out
+
+
+def test_window_dedup_of_overlapping_excerpts(make_docs, monkeypatch):
+    """Near copies that are no sorted neighbours of a signature, also with signatures compared block by block."""
+    texts = excerpts(120, 52, 59)
+    want = brute_windows(texts)
+    assert len(want) > 60
+    for hot in (window_dedup.HOT, 10):
+        monkeypatch.setattr(window_dedup, "HOT", hot)
+        monkeypatch.setattr(window_dedup, "BLOCK", 16)
+        got = defaultdict(set)
+        for r in window_dedup.near_duplicate_passages(make_docs([(k, t, "a") for k, t in enumerate(texts)])).collect():
+            got[r.doc_id].update(range(r.first_word, r.end_word))
+            assert r.other_doc_id != r.doc_id
+        assert dict(got) == dict(want)
+
+
+def test_copies_of_a_text_are_whole_spans(make_docs):
+    rows = [(1, prose(1, 60), "a"), (2, prose(1, 60), "a"), (3, prose(2, 49), "a"), (4, prose(2, 49), "a"), (5, prose(3, 70), "a"), (5, None, "a"), (6, None, "a")]
+    found = window_dedup.near_duplicate_passages(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.other_doc_id) for r in found) == [(1, 1), (2, 1)]
+    assert all(r.first_word <= 0 and r.end_word >= 60 for r in found)
+
+
+def test_extents_equal_all_pairs():
+    """Rows left out by their bounds or because they reached them change nothing."""
+    rng, runs = np.random.default_rng(4), Passages.Runs(6, 5, 1, 1)
+    for size in (3, 40, 90):
+        base = rng.integers(1, 9, (3, 11))
+        units = np.where(rng.random((size, 11)) < 0.2, rng.integers(0, 30, (size, 11)), base[rng.integers(0, 3, size)]).astype(np.uint32)
+        units = np.unique(units, axis=0)
+        group, ids = np.sort(rng.integers(0, 2, len(units))), rng.permutation(len(units))
+        twice = rng.random(len(units)) < 0.1
+        got = Passages.extents(units, group, ids, runs, twice, paired=5)
+        want = Passages.Extents(units, ids, runs)
+        pairs = [(i, j) for i in range(len(units)) for j in range(i + 1) if group[i] == group[j] and (i != j or twice[i])]
+        want.compare(*np.array(pairs).T)
+        assert (got.first == want.first).all() and (got.end == want.end).all() and ((got.end > 0) == (want.end > 0)).all()
+        assert all(got.other[want.end > 0] < len(units))
+
+
 def test_compact_windows():
     rng = np.random.default_rng(1)
     for _ in range(150):
