@@ -86,6 +86,13 @@ def test_long_repeat_is_rejected(make_docs):
     assert row[0].longest_repeat == 450 and not row[0].base_failed and not row[0].kept and row[1].kept
 
 
+def test_texts_with_some_repeats_are_kept(make_docs):
+    # 200 words twice among 600 others: 40 % lie in repeats, the longest of 200 words.
+    repeated = prose(5, 200) + "\n" + prose(4, 600) + "\n" + prose(5, 200)
+    row = quality_rules.judge(make_docs([(1, repeated, "a")])).first()
+    assert row.covered_words >= 400 and row.longest_repeat >= 200 and not row.base_failed and row.kept
+
+
 PIECES = ["a", "be", "é", "ß", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2003", "\x85", "'s", "'", "12", ".", "<|endoftext|>", "日", "\x1c", "\x0b", "🙂"]
 
 
