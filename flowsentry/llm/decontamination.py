@@ -35,8 +35,8 @@ from . import words as W
 from .frames import packed, written
 
 SLICE = 2 << 20
-#: Bits of the table of test hashes.
-BITS = 27
+#: Bits of the table of test hashes, and most hashes that are broadcast; more are joined by a shuffle.
+BITS, BROADCAST = 27, 200_000
 
 
 @dataclass(frozen=True)
@@ -235,7 +235,9 @@ def _overlaps(docs: DataFrame, items: DataFrame, limits: SeedLimits) -> DataFram
     hits = written(_training_hits(docs, table, limits, masks), "training-hits").withColumn("region", F.monotonically_increasing_id())
     hits = written(hits, "training-regions")
     single = hits.select("region", F.explode("hits").alias("s")).select("region", F.col("s.at").alias("at"), F.col("s.seed").alias("seed"))
-    aligned = single.join(seeds, "seed").select("region", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    # Counted, as Spark sizes them by the items' file, which is much smaller.
+    few = (test.agg(F.sum(F.size("seeds"))).first()[0] or 0) <= BROADCAST
+    aligned = single.join(F.broadcast(seeds) if few else seeds.hint("merge"), "seed").select("region", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     pairs = aligned.join(hits.drop("hits"), "region").join(test.select("item", "item_words"), "item")
     return _verified(pairs, limits)
 

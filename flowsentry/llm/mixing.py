@@ -172,7 +172,8 @@ def mixed_documents(
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), (F.col("piece.skip") + 1).cast("int"), F.col("piece.words").cast("int")), " ")
     is_whole = F.col("piece.words") == F.col("all")
     doc = F.col("doc").withField(f"`{text_col}`", F.when(is_whole, text).otherwise(cut))
-    out = rows.join(pieces, "row").select(doc.alias("doc"), is_whole.alias("whole"))
+    # Merged: pieces come of an explode, so Spark sizes them too low and would broadcast them.
+    out = rows.join(pieces.hint("merge"), "row").select(doc.alias("doc"), is_whole.alias("whole"))
     if length_col:
         length = F.when(F.col("whole"), F.col(f"doc.{length_col}")).otherwise(F.length(f"doc.{text_col}"))
         out = out.withColumn("doc", F.col("doc").withField(f"`{length_col}`", length.cast(docs.schema[length_col].dataType)))

@@ -87,12 +87,13 @@ def links(prints: DataFrame) -> DataFrame:
     buckets = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("side").alias("low"), F.max("side").alias("high"))
     exact = F.shiftright("key", 32) >= 64
     useful = buckets.where((F.col("n") > 1) & (exact | (F.col("low") < F.col("high")))).select("key", "n")
-    members = written(variants.join(useful, "key"), "simhash-members")
+    # Merged: by the size of the fingerprints, Spark would broadcast a table that has up to 66 rows for each of them.
+    members = written(variants.join(useful.hint("merge"), "key"), "simhash-members")
     exact = F.shiftright("key", 32) >= 64
     small = members.where(F.col("n") <= PAIRED)
     other = small.select("key", F.col("_fp").alias("other"), F.col("side").alias("other_side"))
     pairs = (
-        small.join(other, "key")
+        small.join(other.hint("merge"), "key")
         .where((F.col("_fp") < F.col("other")) & (exact | (F.col("side") != F.col("other_side"))))
         .where(F.bit_count(F.col("_fp").bitwiseXOR(F.col("other"))) <= 2)
         .select(F.col("_fp").alias("a"), F.col("other").alias("b"))
@@ -129,7 +130,7 @@ def _components(rows: DataFrame, smallest) -> DataFrame:
     """(_fp, component_id): `smallest` aggregated over the rows of each component."""
     own = written(rows.groupBy("_fp").agg(smallest), "simhash-prints")
     joined = components(links(own.select("_fp")))
-    root = own.join(joined, F.col("_fp") == F.col("node"), "left").select("_fp", F.coalesce("component", "_fp").alias("_root"), "component_id")
+    root = own.join(joined.hint("merge"), F.col("_fp") == F.col("node"), "left").select("_fp", F.coalesce("component", "_fp").alias("_root"), "component_id")
     least = root.groupBy("_root").agg(F.min("component_id").alias("component_id"))
     return root.drop("component_id").join(least, "_root").select("_fp", "component_id")
 

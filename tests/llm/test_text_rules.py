@@ -191,3 +191,17 @@ def test_links_of_dense_clusters(spark):
     for _, f, c in brute_components(rows):
         want.setdefault(c, set()).add(int(f, 16))
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
+
+
+def test_keys_of_many_fingerprints_are_not_broadcast(spark, monkeypatch):
+    """Each fingerprint has 66 keys, which Spark sizes by the fingerprints' file."""
+    plans, plain = [], simhash_dedup.written
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    prints = plain(spark.createDataFrame([(k << 20 | k % 3,) for k in range(50)], "_fp long"), "prints")
+    monkeypatch.setattr(simhash_dedup, "written", watched)
+    plans.append(simhash_dedup.links(prints)._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) == 2 and not any("BroadcastHashJoin" in p for p in plans)
